@@ -217,26 +217,29 @@ def vectorize(
     return Corpus(docs, tf, df, pruned, n_docs, vectors)
 
 
-def dictionary(terms: DataFrame, column: str = "term", id_name: str = "term_id") -> DataFrame:
-    """Dense ids from 0 in the order of ``column``, without a global window.
+def dense_index(rows: DataFrame, order: list[str], id_name: str) -> DataFrame:
+    """``rows`` with dense numbers from 0 in the given order, without a global window.
 
-    A range sort is written once; each partition then only needs the number of rows before it.
-    The table of partition sizes has one row per partition.
+    A range sort is written once; each partition then only needs the number of rows before it,
+    a table with one row per partition.
     """
-    spark = terms.sparkSession
-    key = F.col(column)
-    ranged = terms.select(column).distinct().orderBy(key)
-    placed = cut(ranged.withColumn("_at", F.monotonically_increasing_id()))
-    part, at = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
+    spark = rows.sparkSession
+    placed = cut(rows.orderBy(*order).withColumn("_place", F.monotonically_increasing_id()))
+    part = F.shiftright("_place", 33)
+    at = F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
     sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_rows")).collect()
     before, offsets = 0, []
     for row in sorted(sizes, key=lambda r: r["_part"]):
         offsets.append((row["_part"], before))
         before += row["_rows"]
     table = spark.createDataFrame(offsets, "_part long, _before long")
-    return placed.select(column, part.alias("_part"), at.alias("_at")).join(
-        F.broadcast(table), "_part"
-    ).select((F.col("_before") + F.col("_at")).alias(id_name), column)
+    numbered = placed.withColumn("_part", part).join(F.broadcast(table), "_part")
+    return numbered.select((F.col("_before") + at).alias(id_name), *rows.columns)
+
+
+def dictionary(terms: DataFrame, column: str = "term", id_name: str = "term_id") -> DataFrame:
+    """``(term_id, term)``: dense ids from 0 in the order of the term."""
+    return dense_index(terms.select(column).distinct(), [column], id_name)
 
 
 def row_index(docs: DataFrame) -> DataFrame:
