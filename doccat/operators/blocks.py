@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from doccat.operators.scale import checked_join, cut
-from doccat.operators.vectors import dictionary, unit
+from doccat.operators.vectors import unit
 
 BLOCK_ROWS = 1024
 # Partial products expanded at a time inside a task.
@@ -24,18 +24,18 @@ EXPAND = 1 << 22
 
 
 def pack(vectors: DataFrame) -> DataFrame:
-    """``(doc_id, terms array<int>, us array<double>, self_dot, finger)``, one row per document.
+    """``(doc_id, terms array<long>, us array<double>, self_dot, finger)``, one row per document.
 
     Vectors are scaled to norm 1 first. Terms of a single document take part in no product, so
     they are left out afterwards. ``finger`` is equal for vectors that are equal to 12 decimals.
     """
     df = vectors.groupBy("term").agg(F.count("*").alias("df")).filter(F.col("df") > 1)
-    df = cut(df)
-    ids = cut(dictionary(df).join(df, "term"))
+    # Ids need only be unique; they are fixed once the table is written.
+    ids = cut(df.withColumn("term_id", F.monotonically_increasing_id()))
     known = checked_join(unit(vectors), ids, "term", spread="doc_id", weight="df")
     lists = known.groupBy("doc_id").agg(
         F.array_sort(
-            F.collect_list(F.struct(F.col("term_id").cast("int").alias("t"), F.col("u")))
+            F.collect_list(F.struct(F.col("term_id").alias("t"), F.col("u")))
         ).alias("v")
     )
     rounded = F.transform("v", lambda x: F.struct(x["t"], F.round(x["u"], 12)))

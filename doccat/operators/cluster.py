@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
@@ -36,30 +37,42 @@ def seed_centroids(vectors: DataFrame, seeds: DataFrame) -> DataFrame:
     return vectors.join(F.broadcast(seeds), "doc_id").select("cluster_id", "term", "w")
 
 
-def _wide(centroids: DataFrame, k: int) -> DataFrame:
-    """``(term, c0 .. c{k-1})``: centres scaled to norm 1, one row per term."""
-    norms = centroids.groupBy("cluster_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    scaled = centroids.join(F.broadcast(norms), "cluster_id").select(
-        "cluster_id", "term", F.try_divide("w", "norm").alias("u")
-    )
-    return scaled.groupBy("term").agg(
-        *[F.sum(F.when(F.col("cluster_id") == i, F.col("u"))).alias(f"c{i}") for i in range(k)]
+def _columns(k: int) -> list[str]:
+    return [f"c{i}" for i in range(k)]
+
+
+def _wide(centres: DataFrame, k: int) -> DataFrame:
+    """``(term, c0 .. c{k-1})``: one row per term with its weight in every centre."""
+    per_centre = [
+        F.sum(F.when(F.col("cluster_id") == i, F.col("w"))).alias(c)
+        for i, c in enumerate(_columns(k))
+    ]
+    return centres.groupBy("term").agg(*per_centre)
+
+
+def _long(wide: DataFrame, k: int) -> DataFrame:
+    cells = [F.struct(F.lit(i).alias("cluster_id"), F.col(c).alias("w")) for i, c in enumerate(_columns(k))]
+    return wide.select("term", F.inline(F.array(*cells))).filter(F.col("w").isNotNull()).select(
+        "cluster_id", "term", "w"
     )
 
 
-def assign_clusters(
-    vectors: DataFrame, centroids: DataFrame, k: int, n_terms: int | None = None
+def _norms(wide: DataFrame, k: int) -> list[float]:
+    """Norm of each centre: ``k`` numbers."""
+    row = wide.agg(*[F.sqrt(F.sum(F.col(c) * F.col(c))) for c in _columns(k)]).first()
+    return [x or 0.0 for x in row]
+
+
+def _nearest(
+    vectors: DataFrame, wide: DataFrame, norms: list[float], n_terms: int
 ) -> DataFrame:
-    """``(doc_id, cluster_id, distance)``: the nearest centre of each document.
+    """Labels from wide centres.
 
     A posting meets one row with its weight in all centres, so the join adds no rows. That
     table grows with the vocabulary: it is broadcast only when its size allows, else terms are
-    shuffled and common ones salted. A document without a term in any centre is at distance 1
-    of all; ties go to the lowest cluster.
+    shuffled and common ones salted.
     """
-    wide = _wide(centroids, k)
-    if n_terms is None:
-        n_terms = centroids.select("term").distinct().count()
+    k = len(norms)
     if fits_broadcast(n_terms, 8 * k + 96):
         met = vectors.join(F.broadcast(wide), "term", "left")
     else:
@@ -68,55 +81,77 @@ def assign_clusters(
         met = salted_join(
             vectors, cut(df.join(wide, "term", "left")), "term", spread="doc_id", weight="df"
         )
-    dots = [F.sum(F.col("w") * F.coalesce(f"c{i}", F.lit(0.0))).alias(f"d{i}") for i in range(k)]
+    dots = [F.sum(F.col("w") * F.col(c)).alias(c) for c in _columns(k)]
     sums = met.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), *dots)
-    scores = F.array(
-        *[
-            F.struct(
-                F.round(F.col(f"d{i}") / F.col("norm"), PLACES).alias("shown"),
-                F.lit(-i).alias("minus_id"),
-                (F.col(f"d{i}") / F.col("norm")).alias("cosine"),
-            )
-            for i in range(k)
-        ]
-    )
-    return sums.filter(F.col("norm") > 0).select("doc_id", F.array_max(scores).alias("best")).select(
+
+    def score(i: int) -> Column:
+        cosine = F.coalesce(F.col(f"c{i}") / (F.col("norm") * norms[i]), F.lit(0.0)) if norms[i] else F.lit(0.0)
+        return F.struct(
+            F.round(cosine, PLACES).alias("shown"), F.lit(-i).alias("minus_id"), cosine.alias("cosine")
+        )
+
+    best = F.array_max(F.array(*[score(i) for i in range(k)])).alias("best")
+    return sums.filter(F.col("norm") > 0).select("doc_id", best).select(
         "doc_id",
         (-F.col("best.minus_id")).alias("cluster_id"),
         F.greatest(F.lit(1.0) - F.col("best.cosine"), F.lit(0.0)).alias("distance"),
     )
 
 
-def centroids(vectors: DataFrame, assigned: DataFrame, previous: DataFrame | None = None) -> DataFrame:
-    """``(cluster_id, term, w)``: mean vector of the members; an empty cluster keeps its centre.
+def assign_clusters(vectors: DataFrame, centres: DataFrame, k: int) -> DataFrame:
+    """``(doc_id, cluster_id, distance)``: the nearest centre of each document.
 
-    Sums per (cluster, term) are formed before the shuffle, so a huge cluster is no hot key.
+    A document without a term in any centre is at distance 1 of all; ties go to the lowest
+    cluster.
     """
-    sizes = assigned.groupBy("cluster_id").agg(F.count("*").alias("n"))
-    means = (
-        vectors.join(assigned.select("doc_id", "cluster_id"), "doc_id")
-        .groupBy("cluster_id", "term")
-        .agg(F.sum("w").alias("s"))
-        .join(F.broadcast(sizes), "cluster_id")
-        .select("cluster_id", "term", (F.col("s") / F.col("n")).alias("w"))
-    )
+    wide = cut(_wide(centres, k))
+    return _nearest(vectors, wide, _norms(wide, k), wide.count())
+
+
+def _sizes(assigned: DataFrame, k: int) -> list[int]:
+    """Members of each cluster: ``k`` numbers."""
+    rows = assigned.groupBy("cluster_id").agg(F.count("*").alias("n")).collect()
+    found = {r["cluster_id"]: r["n"] for r in rows}
+    return [found.get(i, 0) for i in range(k)]
+
+
+def _means(vectors: DataFrame, assigned: DataFrame, previous: DataFrame | None, k: int) -> DataFrame:
+    """Wide mean vectors. Sums per term are formed before the shuffle: no cluster is a hot key.
+
+    Every document has a label, so every term gets a row; an empty cluster keeps its centre.
+    """
+    sizes = _sizes(assigned, k)
+    labelled = vectors.join(assigned.select("doc_id", "cluster_id"), "doc_id")
+    sums = _wide(labelled, k)
+    means = [(F.col(c) / float(n)).alias(c) for c, n in zip(_columns(k), sizes) if n]
+    new = sums.select("term", *means)
+    if 0 not in sizes:
+        return new
+    empty = [c for c, n in zip(_columns(k), sizes) if not n]
     if previous is None:
-        return means
-    return means.unionByName(previous.join(F.broadcast(sizes), "cluster_id", "left_anti"))
+        return new.select("term", *[F.col(c) if c not in empty else F.lit(None).cast("double").alias(c) for c in _columns(k)])
+    kept = new.join(previous.select("term", *empty), "term", "left")
+    return kept.select("term", *_columns(k))
 
 
-def largest_move(old: DataFrame, new: DataFrame) -> float:
-    """Largest cosine distance between an old and a new centre."""
-    both = (
-        old.select("cluster_id", "term", F.col("w").alias("a"), F.lit(0.0).alias("b"))
-        .unionByName(new.select("cluster_id", "term", F.lit(0.0).alias("a"), F.col("w").alias("b")))
-        .groupBy("cluster_id", "term")
-        .agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    )
-    a, b = F.col("a"), F.col("b")
-    cosine = F.try_divide(F.sum(a * b), F.sqrt(F.sum(a * a)) * F.sqrt(F.sum(b * b)))
-    moved = both.groupBy("cluster_id").agg(F.greatest(F.lit(1.0) - cosine, F.lit(0.0)).alias("d"))
-    return moved.agg(F.max("d")).first()[0] or 0.0
+def centroids(
+    vectors: DataFrame, assigned: DataFrame, k: int, previous: DataFrame | None = None
+) -> DataFrame:
+    """``(cluster_id, term, w)``: mean vector of the members; an empty cluster keeps its centre."""
+    old = None if previous is None else _wide(previous, k)
+    return _long(_means(vectors, assigned, old, k), k)
+
+
+def _compare(old: DataFrame, new: DataFrame, old_norms: list[float]) -> tuple[float, list[float]]:
+    """Largest cosine distance between an old and a new centre, and the new norms."""
+    k = len(old_norms)
+    before = old.select("term", *[F.col(c).alias(f"old_{c}") for c in _columns(k)])
+    dots = [F.sum(F.col(c) * F.col(f"old_{c}")) for c in _columns(k)]
+    squares = [F.sum(F.col(c) * F.col(c)) for c in _columns(k)]
+    row = [x or 0.0 for x in new.join(before, "term", "left").agg(*dots, *squares).first()]
+    norms = [math.sqrt(x) for x in row[k:]]
+    moves = [1.0 - d / (a * b) for d, a, b in zip(row[:k], old_norms, norms) if a and b]
+    return max([0.0, *moves]), norms
 
 
 @dataclass
@@ -140,17 +175,18 @@ def kmeans_fit(
     laid = laid.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         n_terms = laid.select("term").distinct().count()
-        centres = cut(seed_centroids(laid, cut(kmeans_seeds(laid, k, seed))))
+        wide = cut(_wide(seed_centroids(laid, cut(kmeans_seeds(laid, k, seed))), k))
+        norms = _norms(wide, k)
         done, rounds = False, 0
         while rounds < max_iter and not done:
-            assigned = cut(assign_clusters(laid, centres, k, n_terms))
-            moved = cut(centroids(laid, assigned, centres))
-            done = largest_move(centres, moved) <= tol
-            centres, rounds = moved, rounds + 1
-        assigned = cut(assign_clusters(laid, centres, k, n_terms))
+            assigned = cut(_nearest(laid, wide, norms, n_terms))
+            moved = cut(_means(laid, assigned, wide, k))
+            distance, norms = _compare(wide, moved, norms)
+            done, wide, rounds = distance <= tol, moved, rounds + 1
+        assigned = cut(_nearest(laid, wide, norms, n_terms))
     finally:
         laid.unpersist()
-    return Clusters(centres, assigned, rounds, done)
+    return Clusters(_long(wide, k), assigned, rounds, done)
 
 
 def cluster_sizes(assigned: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from doccat.functions import xml as xf
+from doccat.operators.scale import cut, fits_broadcast
 from doccat.operators.vectors import dense_index
 
 
@@ -58,10 +59,12 @@ def extract_fields(records: DataFrame) -> DataFrame:
 def build_entities(records: DataFrame) -> DataFrame:
     """Entities with an ``id`` from 1 in the order of the path.
 
-    Numbers come from a range sort, not from a window over the whole catalogue.
+    Only paths are sorted and numbered, by ranges; a rejected record leaves a gap.
     """
-    placed = dense_index(extract_fields(records), ["path"], "_at")
-    return placed.select(
+    ids = cut(dense_index(records.select("path"), ["path"], "_at"))
+    rows = ids.count()
+    ids = F.broadcast(ids) if fits_broadcast(rows, 256) else ids
+    return extract_fields(records).join(ids, "path").select(
         (F.col("_at") + 1).alias("id"),
         "path", "title", "class", "partner", "service", "themes", "abstract", "attributes",
     )
