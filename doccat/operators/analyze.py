@@ -12,8 +12,14 @@ from doccat.operators.scale import fits_broadcast, salted_join
 
 
 def corpus(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Canonical ``(doc_id, text)``, spread by document so that later steps keep that layout."""
-    return df.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).repartition("doc_id")
+    """Canonical ``(doc_id, text)``.
+
+    An input of fewer partitions than cores (one small file, say) is spread over all of them;
+    a larger one is left as it is.
+    """
+    docs = df.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
 
 
 def token_lists(docs: DataFrame, stops: Iterable[str]) -> DataFrame:

@@ -19,6 +19,8 @@ from doccat.operators.scale import checked_join, cut
 from doccat.operators.vectors import unit
 
 BLOCK_ROWS = 1024
+# Most vector entries of a block on average: long documents make smaller blocks.
+BLOCK_ENTRIES = 1 << 20
 # Partial products expanded at a time inside a task.
 EXPAND = 1 << 22
 
@@ -48,6 +50,11 @@ def pack(vectors: DataFrame) -> DataFrame:
     )
 
 
+def block_count(rows: Column, entries: Column, block_rows: int) -> Column:
+    """Number of blocks that keeps both the documents and the entries of a block bounded."""
+    return F.greatest(F.ceil(rows / block_rows), F.ceil(entries / BLOCK_ENTRIES), F.lit(1)).cast("int")
+
+
 def meet(packed: DataFrame, blocks: Column, within: tuple[str, ...] = ()) -> DataFrame:
     """Send each document to every pair of blocks ``(i, j)``, ``i <= j``, its block is part of.
 

@@ -64,7 +64,7 @@ def nonempty(values: DataFrame) -> DataFrame:
 
 def field_completeness(entities: DataFrame, short: int = 5) -> DataFrame:
     """One row: how many records lack each field, have a short abstract, or repeat the title."""
-    words = F.size(F.split("abstract", " "))
+    words = F.size(F.split(F.rtrim("abstract"), " "))
     return entities.agg(
         F.count("*").alias("n_records"),
         *[F.count_if(F.col(c) == "").alias(f"empty_{c}") for c in SINGLE],
@@ -81,7 +81,7 @@ def incomplete_records(entities: DataFrame, key: str = "id", short: int = 5) ->
     checks += [
         F.when(F.size("themes") == 0, F.lit("empty themes")),
         F.when(F.size("attributes") == 0, F.lit("empty attributes")),
-        F.when(F.size(F.split("abstract", " ")) < short, F.lit("short abstract")),
+        F.when(F.size(F.split(F.rtrim("abstract"), " ")) < short, F.lit("short abstract")),
         F.when(F.col("title") == F.col("class"), F.lit("title is class")),
     ]
     return entities.select(key, F.explode(F.array_compact(F.array(*checks))).alias("problem"))

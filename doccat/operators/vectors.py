@@ -20,25 +20,33 @@ MIN_LLR = 50.0
 def term_counts(tf: DataFrame, min_support: int = 1) -> DataFrame:
     """``(term, count)`` over the whole corpus, for terms that occur at least ``min_support`` times.
 
-    ``tf`` holds counts per document, so what is shuffled is already aggregated.
+    ``tf`` holds counts per document or single tokens with ``tf`` 1; counts are formed before
+    the shuffle either way.
     """
     counts = tf.groupBy("term").agg(F.sum("tf").alias("count"))
     return counts.filter(F.col("count") >= min_support)
 
 
 def unigram_tf(docs: DataFrame, stops: Iterable[str]) -> DataFrame:
-    """``(doc_id, term, tf)`` of single words. No shuffle when ``docs`` is laid out by doc_id."""
-    return token_rows(docs, stops).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    """``(doc_id, term, tf)`` of single words.
+
+    Texts are laid out by document first: they are smaller than their term counts, which then
+    need no shuffle of their own.
+    """
+    laid = docs.repartition("doc_id")
+    return token_rows(laid, stops).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+
+
+def ngram_rows(tokens: DataFrame, n: int) -> DataFrame:
+    """``(doc_id, head, tail)``: one row per n-gram in each document."""
+    grams = tokens.select("doc_id", F.explode(tx.ngrams(F.col("tokens"), n)).alias("g"))
+    return grams.select("doc_id", "g.head", "g.tail")
 
 
 def ngram_tf(tokens: DataFrame, n: int) -> DataFrame:
     """``(doc_id, head, tail, tf)`` of the n-grams of each document."""
-    grams = tokens.select("doc_id", F.explode(tx.ngrams(F.col("tokens"), n)).alias("g"))
-    return (
-        grams.select("doc_id", "g.head", "g.tail")
-        .groupBy("doc_id", "head", "tail")
-        .agg(F.count("*").alias("tf"))
-    )
+    rows = ngram_rows(tokens.repartition("doc_id"), n)
+    return rows.groupBy("doc_id", "head", "tail").agg(F.count("*").alias("tf"))
 
 
 def _xlogx(count: Column, total: Column, row: Column, col: Column) -> Column:
@@ -60,7 +68,7 @@ def llr(k11: Column, k12: Column, k21: Column, k22: Column) -> Column:
 
 
 def ngram_counts(grams: DataFrame) -> DataFrame:
-    """``(head, tail, count)`` over the corpus, from counts per document."""
+    """``(head, tail, count)`` over the corpus, from counts per document or single rows."""
     return grams.groupBy("head", "tail").agg(F.sum("tf").alias("count"))
 
 

@@ -68,7 +68,10 @@ def xml_records(spark, sf_dir) -> DataFrame:
         _tag("dataIdInfo", info),
         _tag("eainfo", _tag("detailed", F.array_join(attributes, ""))),
     )
-    docs = table(spark, sf_dir, "documents").repartition("doc_id")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    cores = spark.sparkContext.defaultParallelism
+    if docs.rdd.getNumPartitions() < cores:
+        docs = docs.repartition(cores)
     return docs.select(
         F.format_string("/%s/%012d.xml", F.col("source"), F.col("doc_id")).alias("path"),
         _tag("metadata", whole).alias("xml"),
@@ -247,7 +250,7 @@ def entity_card(spark, sf_dir):
          count(*) FILTER (abstract = '') AS empty_abstract,
          count(*) FILTER (len(themes) = 0) AS empty_themes,
          count(*) FILTER (len(labels) = 0) AS empty_attributes,
-         count(*) FILTER (len(string_split(abstract, ' ')) < 5) AS short_abstract,
+         count(*) FILTER (len(string_split(rtrim(abstract), ' ')) < 5) AS short_abstract,
          count(*) FILTER (title = class) AS title_is_class FROM e""",
 )
 def field_completeness(spark, sf_dir):
@@ -259,7 +262,7 @@ def field_completeness(spark, sf_dir):
     ENTITY_SQL
     + """SELECT path, 'empty service' AS problem FROM e WHERE service = ''
          UNION ALL SELECT path, 'empty themes' FROM e WHERE len(themes) = 0
-         UNION ALL SELECT path, 'short abstract' FROM e WHERE len(string_split(abstract, ' ')) < 5""",
+         UNION ALL SELECT path, 'short abstract' FROM e WHERE len(string_split(rtrim(abstract), ' ')) < 5""",
 )
 def incomplete_records(spark, sf_dir):
     return fl.incomplete_records(entities(spark, sf_dir), "path")

@@ -214,13 +214,14 @@ def write_content_words(spark, sf_dir):
     TOKEN_SQL + "SELECT term, CAST(sum(tf) AS BIGINT) AS count FROM uni GROUP BY term HAVING sum(tf) >= 5",
 )
 def term_counts(spark, sf_dir):
-    return vc.term_counts(vc.unigram_tf(documents(spark, sf_dir), stopwords()), 5)
+    tokens = an.token_rows(documents(spark, sf_dir), stopwords())
+    return vc.term_counts(tokens.withColumn("tf", F.lit(1)), 5)
 
 
 @query("ngrams", TOKEN_SQL + BIGRAM_SQL + "SELECT head, tail, k11 AS count FROM pair")
 def ngrams(spark, sf_dir):
     tokens = an.token_lists(documents(spark, sf_dir), stopwords())
-    return vc.ngram_counts(vc.ngram_tf(tokens, 2))
+    return vc.ngram_counts(vc.ngram_rows(tokens, 2).withColumn("tf", F.lit(1)))
 
 
 @query(
@@ -230,7 +231,7 @@ def ngrams(spark, sf_dir):
 )
 def collocations(spark, sf_dir):
     tokens = an.token_lists(documents(spark, sf_dir), stopwords())
-    counts = cut(vc.ngram_counts(vc.ngram_tf(tokens, 2)))
+    counts = cut(vc.ngram_counts(vc.ngram_rows(tokens, 2).withColumn("tf", F.lit(1))))
     return vc.collocations(counts, 2).withColumn("llr", F.round("llr", 6))
 
 
