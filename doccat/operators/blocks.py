@@ -55,10 +55,12 @@ def block_count(rows: Column, entries: Column, block_rows: int) -> Column:
     return F.greatest(F.ceil(rows / block_rows), F.ceil(entries / BLOCK_ENTRIES), F.lit(1)).cast("int")
 
 
-def meet(packed: DataFrame, blocks: Column, within: tuple[str, ...] = ()) -> DataFrame:
+def meet(
+    packed: DataFrame, blocks: Column, within: tuple[str, ...] = (), extra: tuple[str, ...] = ()
+) -> DataFrame:
     """Send each document to every pair of blocks ``(i, j)``, ``i <= j``, its block is part of.
 
-    ``blocks`` is the number of blocks of the row's group ``within``.
+    ``blocks`` is the number of blocks of the row's group ``within``; ``extra`` columns go along.
     """
     block = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
     sent = packed.withColumn("block", block).withColumn(
@@ -72,6 +74,7 @@ def meet(packed: DataFrame, blocks: Column, within: tuple[str, ...] = ()) -> Dat
         "doc_id",
         "terms",
         "us",
+        *extra,
     )
 
 

@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from doccat.functions import text as tx
 from doccat.operators.scale import cut, fits_broadcast, salted_join
 from doccat.operators.vectors import dense_index, rank_terms, top_terms_text
 
@@ -254,7 +253,7 @@ def cluster_report(
         F.concat(F.lit("TopTerms: "), F.coalesce("top_terms", F.lit("[]"))).alias("line"),
     )
     each = top_terms_text(rank_terms(vectors, "doc_id", k), "doc_id")
-    name = F.col("doc_id").cast("string")
+    name = F.regexp_replace(F.col("doc_id").cast("string"), "^/", "")
     padded = F.when(F.length(name) < 40, F.rpad(name, 40, " ")).otherwise(name)
     members = assigned.select("cluster_id", "doc_id").join(each, "doc_id").select(
         "cluster_id", F.lit(3).alias("section"), "doc_id",

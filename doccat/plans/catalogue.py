@@ -7,17 +7,14 @@ folder, from ``benchmark``.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from doccat.functions import text as tx
 from doccat.functions import xml as xf
 from doccat.operators import fields as fl
-from doccat.operators.scale import checkpoint_folder
 from doccat.plans.jobs import job_extract
-from doccat.plans.registry import query, table
+from doccat.plans.registry import new_folder, query, table
 from doccat.sources import records as rc
 from doccat.sources import sinks
 
@@ -317,14 +314,28 @@ FIELD_LISTS = """
     UNION ALL SELECT 'TITRE_RESUME', name, title || chr(10) || abstract FROM t""",
 )
 def write_field_docs(spark, sf_dir):
-    out = _folder(spark)
+    out = new_folder(spark)
     sinks.write_field_docs(entities(spark, sf_dir), out)
     return spark.read.parquet(out).select("field", "doc_id", "text")
 
 
-@query("write_field_lists", ENTITY_SQL + FIELD_LISTS)
+@query(
+    "write_field_lists",
+    ENTITY_SQL
+    + f""", v AS (SELECT * FROM ({FIELD_LISTS}))
+    SELECT 'ALL' AS list, field, unnest(string_split(value, chr(10))) AS value FROM v
+    UNION ALL SELECT 'ALL_UNIQUE', field, unnest(string_split(value, chr(10)))
+    FROM (SELECT DISTINCT field, value FROM v)""",
+)
 def write_field_lists(spark, sf_dir):
-    return fl.field_lists(entities(spark, sf_dir))
+    """The written lines, read back; a value of several lines takes several lines."""
+    out = new_folder(spark)
+    sinks.write_field_lists(entities(spark, sf_dir), out)
+    whole, unique = (
+        spark.read.text(f"{out}/{name}").select(F.lit(name).alias("list"), "field", "value")
+        for name in ("ALL", "ALL_UNIQUE")
+    )
+    return whole.unionByName(unique)
 
 
 @query(
@@ -334,7 +345,7 @@ def write_field_lists(spark, sf_dir):
     WHERE field IN ('THEMES', 'ATTRS_LABEL') OR (field IN ('TITRE', 'PARTENAIRE', 'SERVICE') AND value <> '')""",
 )
 def write_unique_values(spark, sf_dir):
-    out = _folder(spark)
+    out = new_folder(spark)
     sinks.write_unique_values(entities(spark, sf_dir), out)
     return spark.read.parquet(out).select("field", "key", "value")
 
@@ -342,19 +353,16 @@ def write_unique_values(spark, sf_dir):
 @query("overwrite", "SELECT n_nationkey, n_name FROM nation WHERE n_regionkey <> 0")
 def overwrite(spark, sf_dir):
     """A second write replaces the first one."""
-    nations, out = table(spark, sf_dir, "nation"), _folder(spark)
+    nations, out = table(spark, sf_dir, "nation"), new_folder(spark)
     sinks.write_table(nations.select("n_nationkey", "n_name"), out)
     sinks.write_table(nations.filter("n_regionkey <> 0").select("n_nationkey", "n_name"), out)
     return spark.read.parquet(out)
 
 
-def _folder(spark) -> str:
-    return f"{checkpoint_folder(spark).rstrip('/')}/{uuid.uuid4().hex}"
-
 
 def _xml_files(spark, sf_dir) -> str:
     """``benchmark`` as a folder of XML files, one record each, by Spark's XML writer."""
-    out = _folder(spark)
+    out = new_folder(spark)
     record = table(spark, sf_dir, "benchmark").select(
         F.concat(F.lit("A.ITEM_"), F.col("item_id").cast("string")).alias("title"),
         F.struct(
@@ -382,7 +390,7 @@ def read_xml_records(spark, sf_dir):
 
 @query("job_extract", FILES_SQL)
 def extract_job(spark, sf_dir):
-    out = _folder(spark)
+    out = new_folder(spark)
     job_extract(spark, _xml_files(spark, sf_dir), out)
     return spark.read.parquet(f"{out}/entities").select(
         "class", "title", "abstract", F.array_join("themes", "|").alias("themes")
@@ -391,7 +399,7 @@ def extract_job(spark, sf_dir):
 
 @query("read_text_corpus", "SELECT rtrim(text, chr(10)) AS text FROM benchmark")
 def read_text_corpus(spark, sf_dir):
-    out = _folder(spark)
+    out = new_folder(spark)
     texts = table(spark, sf_dir, "benchmark").select("text")
     texts.write.option("maxRecordsPerFile", 1).text(out)
     return rc.read_text_corpus(spark, out).select(F.rtrim("text", F.lit("\n")).alias("text"))

@@ -15,8 +15,7 @@ from doccat.operators import skos
 from doccat.operators import vectors as vc
 from doccat.operators.scale import cut
 from doccat.plans import jobs
-from doccat.plans.catalogue import _folder
-from doccat.plans.registry import documents, query
+from doccat.plans.registry import documents, new_folder, query
 from doccat.plans.texts import vector_sql
 
 K, ROUNDS, SEED = 15, 2, 42
@@ -331,5 +330,5 @@ QUALITY_COLUMNS = "min_inter max_inter avg_inter avg_intra max_intra harmonic_me
 )
 def job_cluster(spark, sf_dir):
     """The whole job with default vectors (words and collocations), for two rounds."""
-    result = jobs.job_cluster(documents(spark, sf_dir), _folder(spark), k=K, max_iter=ROUNDS, tol=-1.0)
+    result = jobs.job_cluster(documents(spark, sf_dir), new_folder(spark), k=K, max_iter=ROUNDS, tol=-1.0)
     return _rounded(result.quality)

@@ -65,13 +65,17 @@ def intermediates(corpus: vectors.Corpus, stops: list[str]) -> dict[str, DataFra
     }
 
 
-def job_similar(docs: DataFrame, out: str, **options) -> SimilarResult:
+def job_similar(
+    docs: DataFrame, out: str, stops: list[str] | None = None, **options
+) -> SimilarResult:
     """Similar documents, their report and their SKOS statements."""
-    result = find_similar(docs, **options)
-    sinks.write_intermediates(intermediates(result.corpus, stopwords()), f"{out}/steps")
+    words = stopwords() if stops is None else stops
+    result = find_similar(docs, stops=words, **options)
+    sinks.write_intermediates(intermediates(result.corpus, words), f"{out}/steps")
     sinks.write_table(result.similar, f"{out}/similar")
     report = similar.similar_report(result.corpus.vectors, result.similar)
-    sinks.write_lines(report.orderBy("doc_id").select("report"), f"{out}/report")
+    entries = report.orderBy("doc_id").select(F.concat("report", F.lit("\n")).alias("report"))
+    sinks.write_lines(entries, f"{out}/report")
     sinks.write_turtle(skos.skos_similar(result.corpus.vectors, result.similar), f"{out}/turtle")
     return result
 
@@ -94,9 +98,10 @@ def job_cluster(
     max_iter: int = 20,
     tol: float = 1e-3,
     seed: int = 42,
+    stops: list[str] | None = None,
 ) -> ClusterResult:
     """Clusters, their report, SKOS statements and quality figures."""
-    words = stopwords()
+    words = stopwords() if stops is None else stops
     corpus = vectors.vectorize(docs, words, min_support, max_ngram, min_df, max_df_percent)
     corpus.vectors = cut(corpus.vectors)
     fit = cluster.kmeans_fit(corpus.vectors, k, max_iter, tol, seed)

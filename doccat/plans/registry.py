@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from doccat.operators.analyze import corpus
+from doccat.operators.scale import checkpoint_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -32,3 +34,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The text corpus as ``(doc_id, text)``."""
     return corpus(table(spark, sf_dir, "documents"))
+
+
+def new_folder(spark: SparkSession) -> str:
+    """A fresh path below the checkpoint folder."""
+    return f"{checkpoint_folder(spark).rstrip('/')}/{uuid.uuid4().hex}"

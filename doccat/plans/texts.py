@@ -12,8 +12,7 @@ from doccat.operators import skos
 from doccat.operators import vectors as vc
 from doccat.operators.scale import cut
 from doccat.plans import jobs
-from doccat.plans.catalogue import _folder
-from doccat.plans.registry import documents, query, table
+from doccat.plans.registry import documents, new_folder, query
 from doccat.sources import sinks
 
 QUOTED_STOPS = ", ".join("'" + w.replace("'", "''") + "'" for w in stopwords())
@@ -193,7 +192,7 @@ def content_words_no_verbs(spark, sf_dir):
 
 @query("job_content_words", _content_sql("tag IN ('N', 'A')").replace("coalesce(n, 0) AS n_words", "1 AS one"))
 def job_content_words(spark, sf_dir):
-    docs, out = documents(spark, sf_dir), _folder(spark)
+    docs, out = documents(spark, sf_dir), new_folder(spark)
     jobs.job_content_words(docs, lexicon(docs), out)
     return spark.read.parquet(out).select("doc_id", "text", F.lit(1).alias("one"))
 
@@ -203,7 +202,7 @@ def job_content_words(spark, sf_dir):
     LEXICON_SQL + "SELECT doc_id, count(*) AS n FROM tagged WHERE tag IN ('N', 'A') GROUP BY doc_id",
 )
 def write_content_words(spark, sf_dir):
-    docs, out = documents(spark, sf_dir), _folder(spark)
+    docs, out = documents(spark, sf_dir), new_folder(spark)
     sinks.write_content_words(an.content_words(docs, lexicon(docs)), out)
     words = F.size(F.filter(F.split("text", " "), lambda w: w != ""))
     return spark.read.parquet(out).select("doc_id", words.cast("long").alias("n")).filter("n > 0")
@@ -417,7 +416,7 @@ def skos_similar(spark, sf_dir):
 
 @query("write_intermediates", TOKEN_SQL + "SELECT term, count(*) AS df FROM uni GROUP BY term")
 def write_intermediates(spark, sf_dir):
-    out = _folder(spark)
+    out = new_folder(spark)
     corpus = vc.vectorize(documents(spark, sf_dir), stopwords())
     sinks.write_intermediates(jobs.intermediates(corpus, stopwords()), out)
     return spark.read.parquet(f"{out}/df_sorted")
@@ -428,6 +427,6 @@ def write_intermediates(spark, sf_dir):
     vector_sql() + TOPK_SQL + "SELECT doc_id, other_id, cosine, rank FROM sim",
 )
 def job_similar(spark, sf_dir):
-    out = _folder(spark)
+    out = new_folder(spark)
     jobs.job_similar(documents(spark, sf_dir), out)
     return spark.read.parquet(f"{out}/similar")
