@@ -18,7 +18,10 @@ from pyspark.sql import functions as F
 from doccat.operators.scale import checked_join, cut
 from doccat.operators.vectors import unit
 
-BLOCK_ROWS = 1024
+# Most documents of a block on average; a task holds one dense array of that size squared.
+BLOCK_ROWS = 2048
+# Below this many documents a block is not worth a task of its own.
+SMALL_BLOCK = 256
 # Most vector entries of a block on average: long documents make smaller blocks.
 BLOCK_ENTRIES = 1 << 20
 # Partial products expanded at a time inside a task.
@@ -50,9 +53,15 @@ def pack(vectors: DataFrame) -> DataFrame:
     )
 
 
-def block_count(rows: Column, entries: Column, block_rows: int) -> Column:
-    """Number of blocks that keeps both the documents and the entries of a block bounded."""
-    return F.greatest(F.ceil(rows / block_rows), F.ceil(entries / BLOCK_ENTRIES), F.lit(1)).cast("int")
+def block_count(rows: Column, entries: Column, block_rows: int, cores: int) -> Column:
+    """Number of blocks that bounds the documents and the entries of a block.
+
+    Large blocks shuffle less, since a document travels once per block; small inputs get as
+    many as it takes to give every core a few pairs.
+    """
+    enough = F.least(F.ceil(rows / SMALL_BLOCK), F.lit(math.ceil(math.sqrt(8 * cores))))
+    bounded = F.greatest(F.ceil(rows / block_rows), F.ceil(entries / BLOCK_ENTRIES))
+    return F.greatest(bounded, enough, F.lit(1)).cast("int")
 
 
 def meet(
