@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +18,28 @@ HOT_SHARE = 200
 SALTS = 64
 
 
+# Spark applications that have this package on their executors.
+_SHIPPED: set[str] = set()
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Give the executors this package, once per application.
+
+    Functions that run in tasks are pickled by the name of their module, so each worker has to
+    import it. The package is zipped on the driver and sent by ``addPyFile``.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parent.parent
+    target = Path(tempfile.mkdtemp(prefix="doccat-code-")) / "doccat.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as archive:
+        for source in sorted(package.rglob("*.py")):
+            archive.write(source, source.relative_to(package.parent))
+    context.addPyFile(str(target))
+    _SHIPPED.add(context.applicationId)
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder of the cluster; a temporary one only for a local master."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
