@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from doccat.llm import tokens
+from doccat.llm import packing, tokens, warc
 from doccat.llm.common import new_folder
 from doccat.operators.scale import ship_code
 
@@ -41,3 +41,26 @@ def op2_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         end_id=2,
     )
     return tokens.read_tokens(manifest, ids=False)
+
+
+@query(
+    "op9_warc",
+    """WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+    d AS (SELECT page_id, strlen(html) AS payload_bytes, sha256(html) AS payload_digest FROM p),
+    f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM d)
+    SELECT page_id, payload_bytes, payload_digest,
+      CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+      CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to,
+      true AS intact FROM f""",
+)
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc.write_warc(table(spark, sf_dir, "pages"), new_folder(spark))
+    return warc.read_warc(manifest, payload=False).drop("url")
+
+
+@query("op10_packing")
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.token_pieces(
+        table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=1
+    )
+    return packing.pack(pieces)
