@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from doccat.operators.scale import checkpoint_folder, ship_code
 
-# Most rows that Spark hands to a Python worker at once; long texts make large batches.
-BATCH_ROWS = 1000
+# Bytes after which Spark ends a batch for a Python worker; a single long text may be larger.
+BATCH_BYTES = 4 << 20
 Batches = Iterator[pa.RecordBatch]
 
 
@@ -22,7 +22,7 @@ def arrow_map(df: DataFrame, func: Callable[[Batches], Batches], schema: str) ->
     """``mapInArrow`` with this package on the executors and batches that fit a worker."""
     spark = df.sparkSession
     ship_code(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df.mapInArrow(func, schema)
 
 

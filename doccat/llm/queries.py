@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from doccat.llm import packing, tokens, warc
+from doccat.llm import packing, simhash, tokens, warc
 from doccat.llm.common import new_folder
 from doccat.operators.scale import ship_code
 
@@ -64,3 +64,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=1
     )
     return packing.pack(pieces)
+
+
+@query("op3_simhash")
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
