@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from doccat.llm import packing, simhash, tokens, warc
+from doccat.llm import packing, quality, simhash, tokens, warc
 from doccat.llm.common import new_folder
 from doccat.operators.scale import ship_code
 
@@ -69,3 +69,62 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_simhash")
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def quality_sql() -> str:
+    """Counts, references and verdicts of ``quality.judge`` in DuckDB."""
+    names = quality.word_bins()
+    classes = list(quality.CLASSES.values())
+
+    def quoted(x: str) -> str:
+        return "'" + x.replace("'", "''") + "'"
+
+    counts = ", ".join(
+        f"length(regexp_replace(t, {quoted(f'[^{c}]+')}, '', 'g'))" for c in classes
+    )
+    listed = "[" + ", ".join(map(quoted, names)) + "]"
+    share = "list_transform({0}, lambda x: CASE WHEN list_sum({0}) > 0 THEN x / list_sum({0}) ELSE 0.0 END)"
+    n_classes, n_bins = len(classes) + 1, len(names) + 1
+    mean = "[" + ", ".join("avg({0}[%d])" % (i + 1) for i in range(n_bins)) + "]"
+    mean_c = "[" + ", ".join("avg(c[%d])" % (i + 1) for i in range(n_classes)) + "]"
+    term = "CASE WHEN {0} > 0 THEN {0} * log2(2 * {0} / ({0} + {1})) ELSE 0.0 END"
+
+    def distance(p: str, q: str) -> str:
+        x, y = f"{p}[i]", f"{q}[i]"
+        return (
+            f"sqrt(greatest(list_sum(list_transform(range(1, len({p}) + 1), "
+            f"lambda i: {term.format(x, y)} + {term.format(y, x)})) / 2, 0.0))"
+        )
+
+    return f"""WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t FROM documents),
+    s AS (SELECT doc_id, lang, t,
+      list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w,
+      list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\\x20\\x09-\\x0D]')) AS l FROM d),
+    win AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS g
+      FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM s WHERE len(w) >= 5)),
+    twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM win) WHERE n > 1),
+    cover AS (SELECT doc_id, sum(least(5, i - before)) AS n FROM
+      (SELECT doc_id, i, coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), -10) AS before FROM twice) GROUP BY doc_id),
+    f AS (SELECT doc_id, lang, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+      length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols,
+      len(l) - len(list_distinct(l)) AS n_dup_lines, length(t) AS chars, [{counts}] AS cc,
+      list_filter(list_transform(w, lambda x: lower(x)), lambda x: list_contains({listed}, x)) AS common FROM s),
+    b AS (SELECT f.*, coalesce(cover.n, 0) AS n_repeat_words, list_append(cc, chars - list_sum(cc)) AS classes,
+      list_append(list_transform({listed}, lambda c: len(list_filter(common, lambda x: x = c))), n_words - len(common)) AS bins
+      FROM f LEFT JOIN cover USING (doc_id)),
+    h AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+      chars >= {quality.LEAST_CHARS} AND n_words >= {quality.LEAST_WORDS} AS long_enough,
+      {share.format('classes')} AS c, {share.format('bins')} AS p FROM b),
+    r AS (SELECT lang, {mean_c} AS rc, {mean.format('p')} AS rp FROM h
+      WHERE long_enough AND NOT base_failed AND lang IS NOT NULL GROUP BY lang),
+    own AS (SELECT h.*, {distance('c', 'rc')} + {distance('p', 'rp')} AS far FROM h LEFT JOIN r USING (lang))
+    SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars,
+      CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
+      CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+      NOT base_failed AND (NOT long_enough OR coalesce(far <= {quality.MOST_DISTANCE} + {quality.CHANCE} / sqrt(n_words), true)) AS kept
+    FROM own"""
+
+
+@query("op1_divergence", quality_sql())
+def op1_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents")).drop("class_distance", "word_distance")
