@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from doccat.llm import packing, quality, simhash, tokens, warc
+from doccat.llm import packing, pii, quality, simhash, tokens, warc
 from doccat.llm.common import new_folder
 from doccat.operators.scale import ship_code
 
@@ -128,3 +128,8 @@ def quality_sql() -> str:
 @query("op1_divergence", quality_sql())
 def op1_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).drop("class_distance", "word_distance")
+
+
+@query("op6_disclosure")
+def op6_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(table(spark, sf_dir, "documents"))
