@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from doccat.llm import packing, pii, quality, simhash, tokens, warc
+from doccat.llm import langid, packing, pii, quality, simhash, tokens, warc
 from doccat.llm.common import new_folder
 from doccat.operators.scale import ship_code
 
@@ -133,3 +134,11 @@ def op1_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_disclosure")
 def op6_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(table(spark, sf_dir, "documents"))
+
+
+@query("op7_byte_cnn")
+def op7_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = langid.held_out(F.col("doc_id"))
+    model = langid.train(docs, F.col("doc_id").isNotNull() & ~held)
+    return langid.predict(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
