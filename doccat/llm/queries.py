@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doccat.llm import langid, packing, pii, quality, simhash, tokens, warc
+from doccat.llm import decontam, langid, packing, pii, quality, simhash, tokens, warc
 from doccat.llm.common import new_folder
 from doccat.operators.scale import ship_code
 
@@ -142,3 +142,8 @@ def op7_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = langid.held_out(F.col("doc_id"))
     model = langid.train(docs, F.col("doc_id").isNotNull() & ~held)
     return langid.predict(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+@query("op5_decontaminate")
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
