@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doccat.llm import decontam, langid, packing, pii, quality, simhash, tokens, warc
+from doccat.llm import decontam, langid, packing, pii, quality, simhash, tokens, toolcalls, warc
 from doccat.llm.common import new_folder
 from doccat.operators.scale import ship_code
 
@@ -147,3 +147,31 @@ def op7_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_decontaminate")
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def toolcalls_sql() -> str:
+    """``toolcalls.turns_as_calls`` and ``link_calls`` in DuckDB."""
+    words = "list_filter(regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
+    return f"""WITH t AS (SELECT conv_id, turn, role, text, string_split(text, chr(10)) AS lines, len({words}) AS n
+      FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+    u AS (SELECT *, len(lines) > 1 OR n >= 30 AS many FROM t WHERE role = 'user'),
+    c AS (SELECT conv_id, concat(conv_id, ':', turn) AS call_id, turn,
+      CASE WHEN many THEN 'summarise' ELSE 'answer' END AS name,
+      CASE WHEN many THEN CAST(to_json({{'lines': lines, 'n_words': n, 'text': text}}) AS VARCHAR)
+        ELSE CAST(to_json({{'line': lines[1], 'n_words': n, 'text': text}}) AS VARCHAR) END AS arguments FROM u),
+    one AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY conv_id, call_id ORDER BY turn, name, arguments) = 1),
+    r AS (SELECT conv_id, concat(conv_id, ':', turn - 1) AS call_id, count(*) AS n_results, min(text) AS content
+      FROM t WHERE role <> 'user' OR role IS NULL GROUP BY ALL)
+    SELECT conv_id, call_id, turn, CASE WHEN name IS NOT NULL THEN 0 END AS stage, name,
+      CASE WHEN name IS NULL THEN 'orphan' WHEN n_results IS NULL THEN 'unanswered' ELSE 'linked' END AS status,
+      CASE WHEN name IS NOT NULL THEN '' END AS problems, coalesce(n_results, 0) AS n_results, content,
+      CASE WHEN name IS NOT NULL THEN concat('{{"arguments":', arguments, ',"id":', CAST(to_json(call_id) AS VARCHAR), ',"name":',
+        CAST(to_json(name) AS VARCHAR), ',"result":', coalesce(CAST(to_json(content) AS VARCHAR), 'null'), '}}') END AS canonical
+    FROM one FULL JOIN r USING (conv_id, call_id)"""
+
+
+@query("op4_toolcalls", toolcalls_sql())
+def op4_toolcalls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = toolcalls.turns_as_calls(table(spark, sf_dir, "conversations"))
+    linked = toolcalls.link_calls(calls, results, toolcalls.TURN_TOOLS)
+    return linked.withColumn("problems", F.array_join("problems", ","))
