@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doccat.llm import decontam, langid, packing, pii, quality, simhash, tokens, toolcalls, warc
+from doccat.llm import decontam, langid, packing, pii, quality, simhash, suffix, tokens, toolcalls, warc
 from doccat.llm.common import new_folder
 from doccat.operators.scale import ship_code
 
@@ -175,3 +175,8 @@ def op4_toolcalls(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls, results = toolcalls.turns_as_calls(table(spark, sf_dir, "conversations"))
     linked = toolcalls.link_calls(calls, results, toolcalls.TURN_TOOLS)
     return linked.withColumn("problems", F.array_join("problems", ","))
+
+
+@query("op8_suffix")
+def op8_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.drop_repeats(table(spark, sf_dir, "documents")).drop("kept")
