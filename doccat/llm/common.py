@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from doccat.operators.scale import checkpoint_folder, ship_code
 
@@ -18,7 +19,7 @@ BATCH_BYTES = 4 << 20
 Batches = Iterator[pa.RecordBatch]
 
 
-def arrow_map(df: DataFrame, func: Callable[[Batches], Batches], schema: str) -> DataFrame:
+def arrow_map(df: DataFrame, func: Callable[[Batches], Batches], schema: str | StructType) -> DataFrame:
     """``mapInArrow`` with this package on the executors and batches that fit a worker."""
     spark = df.sparkSession
     ship_code(spark)

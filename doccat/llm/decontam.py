@@ -220,4 +220,6 @@ def keep_clean(docs: DataFrame, items: DataFrame, least: float = SIMILARITY) ->
     """
     bad = contaminated(docs, items, least).select("doc_id").distinct()
     key = [F.coalesce(F.col("doc_id"), F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_none")]
-    return docs.select("*", *key).join(bad.select(*key), ["_id", "_none"], "left_anti").select(*docs.columns)
+    # All columns travel in one, so none can clash with the keys.
+    marked = docs.select(F.struct("*").alias("_doc"), *key)
+    return marked.join(bad.select(*key), ["_id", "_none"], "left_anti").select("_doc.*")

@@ -196,5 +196,6 @@ def keep_good(docs: DataFrame) -> DataFrame:
     bad = judge(docs).filter(~F.col("kept")).select("doc_id").distinct()
     # Null-safe, by two ordinary keys.
     key = [F.coalesce(F.col("doc_id"), F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_none")]
-    marked = docs.select("*", *key)
-    return marked.join(bad.select(*key), ["_id", "_none"], "left_anti").select(*docs.columns)
+    # All columns travel in one, so none can clash with the keys.
+    marked = docs.select(F.struct("*").alias("_doc"), *key)
+    return marked.join(bad.select(*key), ["_id", "_none"], "left_anti").select("_doc.*")
