@@ -1,10 +1,15 @@
-"""Field extraction from an XML column with Spark's own XML functions."""
+"""Field extraction from XML: Spark's own functions for texts, one parse for everything else."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from xml.parsers import expat
+
+import pyarrow as pa
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from doccat.operators.scale import ship_code
+
 # Where each field sits in a metadata record.
 FIELD_PATHS = {
     "title": "//dataIdInfo//resTitle",
@@ -18,8 +23,91 @@ ATTRIBUTE_PATH = "//eainfo//attr"
 ATTRIBUTE_LABEL = "attrlabl"
 ATTRIBUTE_DESCRIPTION = "atXTdesc"
 
-# Private-use characters that mark where an element starts and ends inside joined text.
-ITEM, FIRST, SECOND, END = "", "", "", ""
+class _Collector:
+    """Text of the elements that paths such as ``//a//b`` match, in one pass over a record.
+
+    ``texts`` has all text of the matches of a path joined, ``lists`` one string per match, and
+    ``pairs`` per match the text of two kinds of elements inside. Nested text counts. Elements are
+    matched by local name, whatever their prefix.
+    """
+
+    def __init__(self, texts: list[str], lists: list[str], pairs: list[tuple[str, str, str]]):
+        def names(path: str) -> tuple[str, ...]:
+            return tuple(path.strip("/").split("//"))
+
+        self.paths = [names(p) for p in [*texts, *lists, *(p for p, _, _ in pairs)]]
+        self.n_texts, self.n_lists = len(texts), len(lists)
+        self.inside = [(label, description) for _, label, description in pairs]
+        self.open: list[str] = []
+        self.joined: list[list[str]] = [[] for _ in texts]
+        self.found: list[list[list]] = [[] for _ in [*lists, *pairs]]
+        # Per path the matches that are open, with their depth; pairs also have open parts.
+        self.active: list[list[tuple[int, object]]] = [[] for _ in self.paths]
+        self.parts: list[tuple[int, list[str]]] = []
+
+    def start(self, name: str, attributes) -> None:
+        local = name.rpartition(":")[2]
+        for k, path in enumerate(self.paths):
+            if local == path[-1] and self._under(path[:-1]):
+                item = None
+                if k >= self.n_texts:
+                    item = [] if k < self.n_texts + self.n_lists else ([], [])
+                    self.found[k - self.n_texts].append(item)
+                self.active[k].append((len(self.open), item))
+        for k, (label, description) in enumerate(self.inside):
+            for _, item in self.active[self.n_texts + self.n_lists + k]:
+                if local == label:
+                    self.parts.append((len(self.open), item[0]))
+                if local == description:
+                    self.parts.append((len(self.open), item[1]))
+        self.open.append(local)
+
+    def _under(self, names: tuple[str, ...]) -> bool:
+        rest = iter(self.open)
+        return all(n in rest for n in names)
+
+    def end(self, name: str) -> None:
+        self.open.pop()
+        depth = len(self.open)
+        for matches in self.active:
+            if matches and matches[-1][0] == depth:
+                matches.pop()
+        while self.parts and self.parts[-1][0] == depth:
+            self.parts.pop()
+
+    def text(self, data: str) -> None:
+        for k, matches in enumerate(self.active):
+            if matches:
+                if k < self.n_texts:
+                    self.joined[k].append(data)
+                elif k < self.n_texts + self.n_lists:
+                    for _, item in matches:
+                        item.append(data)
+        for _, part in self.parts:
+            part.append(data)
+
+
+def read_record(
+    xml: str | None, texts: list[str], lists: list[str], pairs: list[tuple[str, str, str]]
+) -> tuple[str | None, list[str], list[list]]:
+    """Why the record is not well-formed (None if it is), joined texts, items of lists and pairs."""
+    if xml is None:
+        return "no text", [], []
+    found = _Collector(texts, lists, pairs)
+    parser = expat.ParserCreate()
+    parser.buffer_text = True
+    parser.StartElementHandler = found.start
+    parser.EndElementHandler = found.end
+    parser.CharacterDataHandler = found.text
+    try:
+        parser.Parse(xml.encode() if xml.startswith("\ufeff") else xml, True)
+    except expat.ExpatError as error:
+        return str(error), [], []
+    items = [
+        [tuple("".join(part) for part in x) if isinstance(x, tuple) else "".join(x) for x in each]
+        for each in found.found
+    ]
+    return None, ["".join(x) for x in found.joined], items
 
 
 def is_well_formed(xml: Column) -> Column:
@@ -37,23 +125,20 @@ def xml_text(xml: Column, path: str) -> Column:
     return F.array_join(F.xpath(xml, F.lit(f"{path}//text()")), "")
 
 
-def _mark(xml: Column, element: str, start: str, end: str = "") -> Column:
-    """Put ``start`` and ``end`` inside every ``element``, so that empty ones leave a trace."""
-    opened = F.regexp_replace(xml, rf"<{element}(\s[^<>]*)?/>", f"<{element}></{element}>")
-    marked = F.regexp_replace(opened, rf"<{element}(\s[^<>]*)?>", f"<{element}>{start}")
-    return F.regexp_replace(marked, rf"</{element}\s*>", f"{end}</{element}>") if end else marked
-
+def xml_list(xml: Column, path: str) -> Column:
+    """One string per match with its nested text; an empty match gives ``""``.
 
-def _items(xml: Column, path: str) -> Column:
-    """Text of each match on its own; ``xml`` carries an ITEM mark at the start of each."""
-    text = F.array_join(F.xpath(xml, F.lit(f"{path}//text()")), "")
-    parts = F.split(text, ITEM)
-    return F.slice(parts, 2, F.size(parts))
+    ``xpath`` has no list of strings per element, so the record is parsed by an Arrow function. Null
+    where the record is not well-formed.
+    """
+    ship_code(SparkSession.active())
 
+    @F.arrow_udf("array<string>")
+    def items(records: pa.Array) -> pa.Array:
+        read = (read_record(x, [], [path], []) for x in records.to_pylist())
+        return pa.array([None if why else found[0] for why, _, found in read], pa.list_(pa.string()))
 
-def xml_list(xml: Column, path: str) -> Column:
-    """One string per match with its nested text; an empty match gives ``""``."""
-    return _items(_mark(xml, path.rsplit("/", 1)[-1], ITEM), path)
+    return items(xml)
 
 
 def xml_pairs(
@@ -66,16 +151,17 @@ def xml_pairs(
 
     Two separate ``xpath`` lists would drop the missing parts and shift the pairs.
     """
-    marked = _mark(xml, path.rsplit("/", 1)[-1], ITEM)
-    marked = _mark(_mark(marked, label, FIRST, END), description, SECOND, END)
+    ship_code(SparkSession.active())
+    kind = pa.list_(pa.struct([("label", pa.string()), ("description", pa.string())]))
 
-    def part(item: Column, start: str) -> Column:
-        found = F.regexp_extract_all(item, F.lit(f"{start}([^{END}]*){END}"), F.lit(1))
-        return F.array_join(found, "")
+    @F.arrow_udf("array<struct<label string, description string>>")
+    def items(records: pa.Array) -> pa.Array:
+        read = (read_record(x, [], [], [(path, label, description)]) for x in records.to_pylist())
+        rows = [
+            None if why else [{"label": a, "description": b} for a, b in found[0]] for why, _, found in read
+        ]
+        return pa.array(rows, kind)
 
     return F.transform(
-        _items(marked, path),
-        lambda item: F.struct(
-            F.upper(part(item, FIRST)).alias("label"), part(item, SECOND).alias("description")
-        ),
+        items(xml), lambda x: F.struct(F.upper(x["label"]).alias("label"), x["description"].alias("description"))
     )

@@ -397,6 +397,62 @@ def extract_job(spark, sf_dir):
     )
 
 
+@query("count_record_files", "SELECT count(*) AS n_records FROM benchmark")
+def count_record_files(spark, sf_dir):
+    return rc.count_records(rc.read_xml_records(spark, _xml_files(spark, sf_dir)))
+
+
+# Every record of one language is cut short, so that it is no XML any more.
+@query("rejected_records", "SELECT '/' || source || '/' || lpad(CAST(doc_id AS VARCHAR), 12, '0') || '.xml' AS path,"
+       " lang = 'de' AS rejected FROM documents")
+def rejected_records(spark, sf_dir):
+    xml = F.col("xml")
+    german = F.contains(xml, F.lit("<descXT>de</descXT>"))
+    records = xml_records(spark, sf_dir).withColumn(
+        "xml", F.when(german, xml.substr(F.lit(1), F.length(xml) - 1)).otherwise(xml)
+    )
+    return rc.parse_records(records).select("path", F.col("reason").isNotNull().alias("rejected"))
+
+
+@query("job_extract_counts", "SELECT count(*) AS n_records, count(*) AS n_entities, 0::BIGINT AS n_rejects FROM benchmark")
+def job_extract_counts(spark, sf_dir):
+    out = new_folder(spark)
+    job_extract(spark, _xml_files(spark, sf_dir), out)
+    return spark.read.parquet(f"{out}/counts")
+
+
+@query(
+    "job_extract_lists",
+    """SELECT 'TITRE' AS field, 'Item ' || item_id AS value FROM benchmark
+       UNION ALL SELECT 'CLASSE', 'A.ITEM_' || item_id FROM benchmark
+       UNION ALL SELECT 'THEMES', unnest(['quiz', 'test']) FROM benchmark""",
+)
+def job_extract_lists(spark, sf_dir):
+    """The lists as lines; texts with line ends of their own are checked as tables elsewhere."""
+    out = new_folder(spark)
+    job_extract(spark, _xml_files(spark, sf_dir), out)
+    lists = spark.read.text(f"{out}/lists/ALL")
+    return lists.filter(F.col("field").isin("TITRE", "CLASSE", "THEMES")).select("field", "value")
+
+
+@query("job_extract_documents", "SELECT 'RESUME' AS field, text FROM benchmark")
+def job_extract_documents(spark, sf_dir):
+    out = new_folder(spark)
+    job_extract(spark, _xml_files(spark, sf_dir), out)
+    return spark.read.parquet(f"{out}/documents").filter("field = 'RESUME'").select("field", "text")
+
+
+@query(
+    "job_extract_unique",
+    """SELECT 'TITRE' AS field, 'Item ' || item_id AS value FROM benchmark
+       UNION ALL SELECT 'THEMES', unnest(['quiz', 'test'])""",
+)
+def job_extract_unique(spark, sf_dir):
+    out = new_folder(spark)
+    job_extract(spark, _xml_files(spark, sf_dir), out)
+    return spark.read.parquet(f"{out}/unique").select("field", "value")
+
+
 @query("read_text_corpus", "SELECT rtrim(text, chr(10)) AS text FROM benchmark")
 def read_text_corpus(spark, sf_dir):
     out = new_folder(spark)

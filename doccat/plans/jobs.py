@@ -14,8 +14,20 @@ from doccat.sources import records, sinks
 
 
 def job_extract(spark: SparkSession, folder: str, out: str) -> DataFrame:
-    """XML records to entities, field texts, field lists and unique values."""
-    entities = cut(records.build_entities(records.read_xml_records(spark, folder)))
+    """XML records to entities, field texts, field lists and unique values.
+
+    Records that are not well-formed go to ``rejects`` with the reason, and ``counts`` has one row with
+    the number of records read, kept and rejected.
+    """
+    parsed = cut(records.parse_records(records.read_xml_records(spark, folder)))
+    entities = cut(records.number_entities(parsed))
+    rejects = parsed.filter("reason IS NOT NULL").select("path", "reason")
+    sinks.write_table(rejects, f"{out}/rejects")
+    bad = F.count_if(F.col("reason").isNotNull())
+    counts = parsed.agg(
+        F.count("*").alias("n_records"), (F.count("*") - bad).alias("n_entities"), bad.alias("n_rejects")
+    )
+    sinks.write_table(counts, f"{out}/counts")
     sinks.write_table(entities, f"{out}/entities")
     sinks.write_field_docs(entities, f"{out}/documents")
     sinks.write_field_lists(entities, f"{out}/lists")

@@ -53,6 +53,13 @@ cells AS (
 )
 """
 
+# The same for three words: all words but the last, and the last.
+TRIGRAM_SQL = BIGRAM_SQL.replace(
+    """SELECT doc_id, term AS head, lead(term) OVER (PARTITION BY doc_id ORDER BY pos) AS tail FROM tok""",
+    """SELECT doc_id, term || ' ' || lead(term) OVER w AS head, lead(term, 2) OVER w AS tail
+    FROM tok WINDOW w AS (PARTITION BY doc_id ORDER BY pos)""",
+)
+
 
 def tf_sql(min_support: int = 1, bigrams: bool = False) -> str:
     """CTEs up to ``tf``."""
@@ -234,6 +241,23 @@ def collocations(spark, sf_dir):
     return vc.collocations(counts, 2).withColumn("llr", F.round("llr", 6))
 
 
+@query("ngrams_three", TOKEN_SQL + TRIGRAM_SQL + "SELECT head, tail, k11 AS count FROM pair")
+def ngrams_three(spark, sf_dir):
+    tokens = an.token_lists(documents(spark, sf_dir), stopwords())
+    return vc.ngram_counts(vc.ngram_rows(tokens, 3).withColumn("tf", F.lit(1)))
+
+
+@query(
+    "collocations_three",
+    TOKEN_SQL + TRIGRAM_SQL
+    + "SELECT term, head, tail, count, round(llr, 6) AS llr FROM scored WHERE llr >= 50 AND count >= 2",
+)
+def collocations_three(spark, sf_dir):
+    tokens = an.token_lists(documents(spark, sf_dir), stopwords())
+    counts = cut(vc.ngram_counts(vc.ngram_rows(tokens, 3).withColumn("tf", F.lit(1))))
+    return vc.collocations(counts, 2).withColumn("llr", F.round("llr", 6))
+
+
 @query(
     "dictionary",
     TOKEN_SQL + """SELECT row_number() OVER (ORDER BY term) - 1 AS term_id, term
@@ -317,14 +341,14 @@ cos AS MATERIALIZED (
 TOPK_SQL = COSINE_SQL + """
 , sim AS MATERIALIZED (
   SELECT doc_id, other_id, cosine, rank FROM (
-    SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY cosine DESC, other_id) AS rank FROM (
+    SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY cosine DESC, other_id) AS INTEGER) AS rank FROM (
       SELECT a AS doc_id, b AS other_id, cosine FROM cos UNION ALL SELECT b, a, cosine FROM cos))
   WHERE rank <= 10)
 """
 TOP_TERMS_SQL = """
 , top AS MATERIALIZED (
   SELECT doc_id, term, weight, rank FROM (
-    SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, lower(term), term) AS rank
+    SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, lower(term), term) AS INTEGER) AS rank
     FROM (SELECT doc_id, term, CAST(round_even(w, 2) AS DOUBLE) AS weight FROM v))
   WHERE rank <= 10),
 top_text AS MATERIALIZED (
@@ -333,23 +357,36 @@ top_text AS MATERIALIZED (
 """
 RANKED_SQL = """
 , shown AS MATERIALIZED (
-  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, other_id) AS rank
+  SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, other_id) AS INTEGER) AS rank
   FROM (SELECT doc_id, other_id, CAST(round_even(cosine, 2) AS DOUBLE) AS score FROM sim))
 """
 
 
+SETS_SQL = """
+, finger AS (SELECT doc_id, md5(string_agg(term || ':' || tf, ' ' ORDER BY term)) AS finger FROM tf GROUP BY doc_id),
+sets AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY finger) AS rep, count(*) OVER (PARTITION BY finger) AS n FROM finger)
+"""
+
+
 @query(
     "cosine_pairs",
-    vector_sql() + COSINE_SQL + """
-, sets AS (SELECT min(doc_id) AS rep, count(*) AS n FROM (
-    SELECT doc_id, md5(string_agg(term || ':' || tf, ' ' ORDER BY term)) AS finger FROM tf GROUP BY doc_id)
-  GROUP BY finger)
-SELECT a, b, cosine, x.n AS n_a, y.n AS n_b
-FROM cos JOIN sets x ON x.rep = a JOIN sets y ON y.rep = b WHERE cosine >= 0.05""",
+    vector_sql() + COSINE_SQL + SETS_SQL + """
+SELECT a, b, cosine, x.n AS n_a, y.n AS n_b FROM cos
+JOIN sets x ON x.doc_id = a AND x.rep = a JOIN sets y ON y.doc_id = b AND y.rep = b WHERE cosine >= 0""",
 )
 def cosine_pairs(spark, sf_dir):
     vectors = cut(vc.vectorize(documents(spark, sf_dir), stopwords()).vectors)
-    return sm.cosine_pairs(vectors, 0.05).withColumn("cosine", F.round("cosine", sm.PLACES))
+    return sm.cosine_pairs(vectors, 0.0).withColumn("cosine", F.round("cosine", sm.PLACES))
+
+
+@query(
+    "cosine_sets",
+    vector_sql() + SETS_SQL + "SELECT doc_id, rep, n FROM sets WHERE n > 1",
+)
+def cosine_sets(spark, sf_dir):
+    """Which documents each representative of ``cosine_pairs`` stands for."""
+    vectors = cut(vc.vectorize(documents(spark, sf_dir), stopwords()).vectors)
+    return sm.cosine_sets(vectors).filter("n > 1")
 
 
 @query(
@@ -414,12 +451,32 @@ def skos_similar(spark, sf_dir):
     return skos.skos_similar(result.corpus.vectors, result.similar)
 
 
-@query("write_intermediates", TOKEN_SQL + "SELECT term, count(*) AS df FROM uni GROUP BY term")
-def write_intermediates(spark, sf_dir):
-    out = new_folder(spark)
-    corpus = vc.vectorize(documents(spark, sf_dir), stopwords())
-    sinks.write_intermediates(jobs.intermediates(corpus, stopwords()), out)
-    return spark.read.parquet(f"{out}/df_sorted")
+def _intermediate(name: str, sql: str, shown=lambda df: df) -> None:
+    """Register a query that writes all intermediate tables and reads one of them back."""
+
+    @query("write_intermediates" if name == "df_sorted" else f"write_intermediates_{name}", sql)
+    def read_back(spark, sf_dir):
+        out = new_folder(spark)
+        corpus = vc.vectorize(documents(spark, sf_dir), stopwords())
+        sinks.write_intermediates(jobs.intermediates(corpus, stopwords()), out)
+        return shown(spark.read.parquet(f"{out}/{name}"))
+
+
+_intermediate("df_sorted", TOKEN_SQL + "SELECT term, count(*) AS df FROM uni GROUP BY term")
+_intermediate("df", TOKEN_SQL + "SELECT term, count(*) AS df FROM uni GROUP BY term")
+_intermediate("tf", TOKEN_SQL + "SELECT doc_id, term, tf FROM uni")
+_intermediate(
+    "tokens", TOKEN_SQL + "SELECT doc_id, string_agg(term, ' ' ORDER BY pos) AS tokens FROM tok GROUP BY doc_id",
+    lambda df: df.select("doc_id", F.array_join("tokens", " ").alias("tokens")).filter("tokens <> ''"),
+)
+_intermediate(
+    "dictionary",
+    TOKEN_SQL + "SELECT row_number() OVER (ORDER BY term) - 1 AS term_id, term FROM (SELECT DISTINCT term FROM uni)",
+)
+_intermediate(
+    "tfidf", vector_sql() + "SELECT doc_id, term, round(w, 6) AS w FROM v",
+    lambda df: df.withColumn("w", F.round("w", 6)),
+)
 
 
 @query(
@@ -430,3 +487,12 @@ def job_similar(spark, sf_dir):
     out = new_folder(spark)
     jobs.job_similar(documents(spark, sf_dir), out)
     return spark.read.parquet(f"{out}/similar")
+
+
+@query("job_similar_report", f"""WITH reports AS ({REPORT_SQL})
+SELECT unnest(string_split(report, chr(10))) AS line FROM reports""")
+def job_similar_report(spark, sf_dir):
+    """The lines of the written report; a report ends with an empty line."""
+    out = new_folder(spark)
+    jobs.job_similar(documents(spark, sf_dir), out)
+    return spark.read.text(f"{out}/report").select(F.col("value").alias("line")).filter("line <> ''")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from doccat.functions import xml as xf
-from doccat.operators.scale import cut, fits_broadcast
+from doccat.operators.scale import BROADCAST_BYTES, cut, ship_code
 from doccat.operators.vectors import dense_index
 
 
@@ -39,32 +42,70 @@ def read_text_corpus(spark: SparkSession, folder: str) -> DataFrame:
     return files.select(F.col("path").alias("doc_id"), "text")
 
 
+def parse_records(records: DataFrame) -> DataFrame:
+    """``path, reason`` and all catalogue fields of each record, parsed once. A narrow step.
+
+    ``reason`` says why a record is not well-formed XML and is null if it is; only then the
+    fields are filled. No record is left out.
+    """
+    ship_code(records.sparkSession)
+    names = list(xf.FIELD_PATHS)
+    texts, lists = list(xf.FIELD_PATHS.values()), [xf.THEME_PATH]
+    pairs = [(xf.ATTRIBUTE_PATH, xf.ATTRIBUTE_LABEL, xf.ATTRIBUTE_DESCRIPTION)]
+    pair = pa.struct([("label", pa.string()), ("description", pa.string())])
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            read = [xf.read_record(x, texts, lists, pairs) for x in batch.column("xml").to_pylist()]
+            good = [why is None for why, _, _ in read]
+            columns = [batch.column("path"), pa.array([why for why, _, _ in read], pa.string())]
+            for k in range(len(names)):
+                columns.append(pa.array([t[k] if ok else None for ok, (_, t, _) in zip(good, read)], pa.string()))
+            themes = [i[0] if ok else None for ok, (_, _, i) in zip(good, read)]
+            rows = [
+                [{"label": a, "description": b} for a, b in i[1]] if ok else None
+                for ok, (_, _, i) in zip(good, read)
+            ]
+            columns += [pa.array(themes, pa.list_(pa.string())), pa.array(rows, pa.list_(pair))]
+            yield pa.RecordBatch.from_arrays(columns, ["path", "reason", *names, "themes", "attributes"])
+
+    fields = ", ".join(f"`{n}` string" for n in names)
+    schema = (
+        f"path string, reason string, {fields}, themes array<string>, "
+        "attributes array<struct<label string, description string>>"
+    )
+    label = F.transform(
+        "attributes",
+        lambda x: F.struct(F.upper(x["label"]).alias("label"), x["description"].alias("description")),
+    )
+    return records.select("path", "xml").mapInArrow(parse, schema).withColumn("attributes", label)
+
+
 def rejected_records(records: DataFrame) -> DataFrame:
-    """Records that are not well-formed XML; :func:`build_entities` leaves them out."""
-    return records.filter(~xf.is_well_formed(F.col("xml")))
+    """``path, reason`` of the records that are not well-formed XML."""
+    return parse_records(records).filter("reason IS NOT NULL").select("path", "reason")
 
 
 def extract_fields(records: DataFrame) -> DataFrame:
-    """All catalogue fields of each well-formed record, next to its ``path``. A narrow step."""
-    xml = F.col("xml")
-    single = [xf.xml_text(xml, path).alias(name) for name, path in xf.FIELD_PATHS.items()]
-    return records.filter(xf.is_well_formed(xml)).select(
-        "path",
-        *single,
-        xf.xml_list(xml, xf.THEME_PATH).alias("themes"),
-        xf.xml_pairs(xml).alias("attributes"),
-    )
+    """All catalogue fields of each well-formed record, next to its ``path``."""
+    return parse_records(records).filter("reason IS NULL").drop("reason")
 
 
-def build_entities(records: DataFrame) -> DataFrame:
-    """Entities with an ``id`` from 1 in the order of the path.
+def number_entities(parsed: DataFrame) -> DataFrame:
+    """Entities of :func:`parse_records` with an ``id`` from 1 in the order of the path.
 
-    Only paths are sorted and numbered, by ranges; a rejected record leaves a gap.
+    Only paths are sorted and numbered, by ranges; a rejected record keeps its number and so leaves a
+    gap in the ids.
     """
-    ids = cut(dense_index(records.select("path"), ["path"], "_at"))
-    rows = ids.count()
-    ids = F.broadcast(ids) if fits_broadcast(rows, 256) else ids
-    return extract_fields(records).join(ids, "path").select(
+    ids = cut(dense_index(parsed.select("path"), ["path"], "_at"))
+    size = ids.agg(F.sum(F.octet_length("path") + 40)).first()[0] or 0
+    ids = F.broadcast(ids) if size <= BROADCAST_BYTES else ids
+    return parsed.filter("reason IS NULL").join(ids, "path").select(
         (F.col("_at") + 1).alias("id"),
         "path", "title", "class", "partner", "service", "themes", "abstract", "attributes",
     )
+
+
+def build_entities(records: DataFrame) -> DataFrame:
+    """Entities with an ``id`` from 1 in the order of the path; a rejected record leaves a gap."""
+    return number_entities(cut(parse_records(records)))

@@ -29,7 +29,8 @@ def test_records_are_found_in_all_folders(spark, folder):
     records = rc.read_xml_records(spark, folder)
     assert sorted(r["name"] for r in records.collect()) == ["a.xml", "a.xml", "broken.xml"]
     assert rc.count_records(records).first()["n_records"] == 3
-    assert [r["name"] for r in rc.rejected_records(records).collect()] == ["broken.xml"]
+    (bad,) = rc.rejected_records(records).collect()
+    assert bad["path"].endswith("/sub/broken.xml") and "mismatched tag" in bad["reason"]
 
 
 def test_entities(spark, folder):
@@ -63,6 +64,8 @@ def test_extract_job_replaces_earlier_output(spark, folder, tmp_path):
     for _ in range(2):
         job_extract(spark, folder, out)
     assert spark.read.parquet(f"{out}/entities").count() == 2
+    assert tuple(spark.read.parquet(f"{out}/counts").first()) == (3, 2, 1)
+    assert spark.read.parquet(f"{out}/rejects").first()["path"].endswith("/sub/broken.xml")
     docs = spark.read.parquet(f"{out}/documents")
     assert docs.select("field").distinct().count() == 11
     whole = docs.filter("field = 'ALL' AND doc_id NOT LIKE '%sub%'").first()["text"]
@@ -86,3 +89,29 @@ def test_malformed_xml_is_seen(spark):
     df = spark.createDataFrame([("<a/>",), ("<a",), (None,), ("",)], "x string")
     seen = [r[0] for r in df.select(xf.is_well_formed(F.col("x"))).collect()]
     assert seen[:3] == [True, False, False] and not seen[3]
+
+
+@pytest.mark.parametrize(
+    "body, themes",
+    [
+        ('<descXT a="1>0">a</descXT>', ["a"]),
+        ("<x:descXT xmlns:x='u'>a</x:descXT><x:descXT>b</x:descXT>", ["a", "b"]),
+        ("<descXT><![CDATA[<a> & b]]></descXT>", ["<a> & b"]),
+        ("<descXT>a\ue000b\ue001</descXT><descXT/>", ["a\ue000b\ue001", ""]),
+        ("<descXT>a<descXT>b</descXT>c</descXT>", ["abc", "b"]),
+        ("<!-- <descXT>no</descXT> --><descXT>&#233;&lt;</descXT>", ["é<"]),
+    ],
+)
+def test_lists_follow_the_structure(spark, body, themes):
+    xml = f"<m><dataIdInfo><tpCat>{body}</tpCat></dataIdInfo><descXT>outside</descXT></m>"
+    df = spark.createDataFrame([("p", xml)], "path string, xml string")
+    assert df.select(xf.xml_list(F.col("xml"), xf.THEME_PATH)).first()[0] == themes
+    assert rc.extract_fields(df).first()["themes"] == themes
+
+
+def test_prefixes_do_not_hide_attributes(spark):
+    xml = """<g:m xmlns:g="u"><g:title>T</g:title><g:eainfo><g:attr><g:attrlabl>n</g:attrlabl></g:attr></g:eainfo></g:m>"""
+    df = spark.createDataFrame([("p", xml), ("q", "<a"), ("r", None)], "path string, xml string")
+    rows = {r["path"]: r for r in rc.parse_records(df).collect()}
+    assert rows["p"]["class"] == "T" and [tuple(a) for a in rows["p"]["attributes"]] == [("N", "")]
+    assert rows["q"]["reason"] and rows["r"]["reason"] == "no text" and rows["r"]["themes"] is None

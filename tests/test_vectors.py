@@ -136,12 +136,30 @@ def test_similar_fixture(spark):
     }
 
 
+def expanded(vectors):
+    """All pairs that ``cosine_pairs`` and ``cosine_sets`` stand for, both ways."""
+    members = {}
+    for r in sm.cosine_sets(vectors).collect():
+        members.setdefault(r["rep"], []).append(r["doc_id"])
+    out = {(x, y): 1.0 for m in members.values() for x in m for y in m if x != y}
+    for r in sm.cosine_pairs(vectors, 0.0).collect():
+        assert (r["n_a"], r["n_b"]) == (len(members[r["a"]]), len(members[r["b"]]))
+        for x in members[r["a"]]:
+            for y in members[r["b"]]:
+                out[x, y] = out[y, x] = r["cosine"]
+    return out
+
+
 def test_pairs_cover_all_documents_through_their_copies(spark, skewed):
     rows = [tuple(r) for r in skewed.select("doc_id", "term", "w").collect()]
-    cos = brute(rows)
-    pairs = sm.cosine_pairs(skewed).collect()
-    assert all(r["cosine"] == pytest.approx(cos[r["a"], r["b"]]) for r in pairs)
-    sizes = {r["a"]: r["n_a"] for r in pairs} | {r["b"]: r["n_b"] for r in pairs}
-    assert max(sizes.values()) == 30
-    between = sum(2 * r["n_a"] * r["n_b"] for r in pairs)
-    assert between + sum(n * (n - 1) for n in sizes.values()) == len(cos)
+    assert expanded(skewed) == {k: pytest.approx(v) for k, v in brute(rows).items()}
+
+
+def test_pairs_of_documents_with_terms_of_their_own(spark):
+    """Documents that share a term are not equal if each has another one that nobody else has."""
+    rows = [(d, t, 1.0) for d, own in ((1, "x"), (2, "y"), (3, "z")) for t in ("a", own)]
+    vectors = spark.createDataFrame(rows, "doc_id long, term string, w double")
+    assert expanded(vectors) == {(a, b): pytest.approx(0.5) for a in (1, 2, 3) for b in (1, 2, 3) if a != b}
+    more = rows + [(d, t, 1.0) for d in (4, 5) for t in ("a", "b")]
+    found = expanded(spark.createDataFrame(more, "doc_id long, term string, w double"))
+    assert len(found) == 20 and found[4, 5] == pytest.approx(1.0) and found[1, 2] == pytest.approx(0.5)
