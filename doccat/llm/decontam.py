@@ -17,7 +17,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BITS = 64
 # Fingerprints up to this many bits apart are candidates; the index has BLOCKS tables.
-RADIUS = 15
+RADIUS = 19
 BLOCKS = 8
 # Items with fewer words say too little and are not searched for.
 LEAST_WORDS = 8
