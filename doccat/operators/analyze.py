@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from doccat.functions import text as tx
-from doccat.operators.scale import fits_broadcast, salted_join
+from doccat.operators.scale import cut, fits_broadcast, salted_join
 
 
 def corpus(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -47,29 +47,24 @@ def content_words(
     each. ``tags=None`` keeps every word without a tag in ``exclude``, words the lexicon lacks
     included. ``min_words`` drops documents with fewer kept words.
     """
+    # Texts are laid out by document once, so that the words need no shuffle to meet again; a
+    # document without words keeps one row.
     bounded = tx.split_punct(F.col("text"))
-    words = docs.select(
-        "doc_id", F.posexplode(F.filter(F.split(bounded, r"\s+"), lambda t: t != ""))
-    ).select("doc_id", "pos", F.col("col").alias("token"), F.lower("col").alias("word"))
+    parts = F.filter(F.split(bounded, r"\s+"), lambda t: t != "")
+    words = docs.repartition("doc_id").select("doc_id", F.posexplode_outer(parts).alias("pos", "token"))
+    words = words.withColumn("word", F.lower("token"))
 
     listed = list(exclude) if tags is None else list(tags)
-    marked = lexicon.groupBy("word").agg(F.bool_or(F.col("tag").isin(listed)).alias("listed"))
-    rows = marked.count()
-    if fits_broadcast(rows, 96):
+    marked = cut(lexicon.groupBy("word").agg(F.bool_or(F.col("tag").isin(listed)).alias("listed")))
+    if fits_broadcast(marked):
         tagged = words.join(F.broadcast(marked), "word", "left")
     else:
-        counts = words.groupBy("word").agg(F.count("*").alias("n"))
-        every_word = counts.join(marked, "word", "left")
-        tagged = salted_join(words, every_word, "word", spread="doc_id", weight="n")
+        counts = words.filter("word IS NOT NULL").groupBy("word").agg(F.count("*").alias("n"))
+        every_word = cut(counts.join(marked, "word", "left"))
+        tagged = salted_join(words, every_word, "word", spread="doc_id", weight="n", how="left")
     is_listed = F.coalesce(F.col("listed"), F.lit(False))
-    kept = tagged.filter(~is_listed if tags is None else is_listed)
-
-    lists = kept.groupBy("doc_id").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("kept")
-    )
-    texts = docs.select("doc_id").join(lists, "doc_id", "left").select(
-        "doc_id",
-        F.coalesce(F.array_join("kept.token", " "), F.lit("")).alias("text"),
-        F.coalesce(F.size("kept"), F.lit(0)).alias("n_words"),
-    )
+    kept = ~is_listed if tags is None else is_listed
+    texts = tagged.groupBy("doc_id").agg(
+        F.array_sort(F.collect_list(F.when(kept & F.col("token").isNotNull(), F.struct("pos", "token")))).alias("kept")
+    ).select("doc_id", F.array_join("kept.token", " ").alias("text"), F.size("kept").cast("long").alias("n_words"))
     return texts.filter(F.col("n_words") >= min_words) if min_words else texts

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from doccat.operators.scale import cut, fits_broadcast, salted_join
+from doccat.operators.scale import cut, drop_cut, fits_broadcast, salted_join
 from doccat.operators.vectors import dense_index, rank_terms, top_terms_text
 
 # Cosines are compared at this precision, so that the order of a sum cannot change a label.
@@ -63,7 +63,7 @@ def _norms(wide: DataFrame, k: int) -> list[float]:
 
 
 def _nearest(
-    vectors: DataFrame, wide: DataFrame, norms: list[float], n_terms: int
+    vectors: DataFrame, wide: DataFrame, norms: list[float]
 ) -> DataFrame:
     """Labels from wide centres.
 
@@ -72,7 +72,7 @@ def _nearest(
     shuffled and common ones salted.
     """
     k = len(norms)
-    if fits_broadcast(n_terms, 8 * k + 96):
+    if fits_broadcast(wide):
         met = vectors.join(F.broadcast(wide), "term", "left")
     else:
         # Terms in no centre must keep their rows, so the full vocabulary is the other side.
@@ -104,7 +104,7 @@ def assign_clusters(vectors: DataFrame, centres: DataFrame, k: int) -> DataFrame
     cluster.
     """
     wide = cut(_wide(centres, k))
-    return _nearest(vectors, wide, _norms(wide, k), wide.count())
+    return _nearest(vectors, wide, _norms(wide, k))
 
 
 def _sizes(assigned: DataFrame, k: int) -> list[int]:
@@ -121,7 +121,9 @@ def _means(vectors: DataFrame, assigned: DataFrame, previous: DataFrame | None,
     """
     sizes = _sizes(assigned, k)
     labelled = vectors.join(assigned.select("doc_id", "cluster_id"), "doc_id")
-    sums = _wide(labelled, k)
+    # First one sum per cluster and term, then a row per term: a posting meets one sum, not ``k``.
+    sums = labelled.groupBy("term").pivot("cluster_id", list(range(k))).agg(F.sum("w"))
+    sums = sums.select("term", *[F.col(f"`{i}`").alias(c) for i, c in enumerate(_columns(k))])
     means = [(F.col(c) / float(n)).alias(c) for c, n in zip(_columns(k), sizes) if n]
     new = sums.select("term", *means)
     if 0 not in sizes:
@@ -167,22 +169,23 @@ def kmeans_fit(
     """Lloyd's algorithm from ``k`` random documents; labels come from the final centres.
 
     Vectors are laid out by document once and stay so: scoring and the update shuffle only
-    sums. Each round writes its labels and centres, so the plan does not grow and a lost
-    executor costs one round at most.
+    sums. Each round writes its labels and centres and deletes those of the round before, so the
+    plan does not grow and a lost executor costs one round at most.
     """
     laid = vectors.select("doc_id", "term", "w").repartition("doc_id")
     laid = laid.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        n_terms = laid.select("term").distinct().count()
         wide = cut(_wide(seed_centroids(laid, cut(kmeans_seeds(laid, k, seed))), k))
         norms = _norms(wide, k)
         done, rounds = False, 0
         while rounds < max_iter and not done:
-            assigned = cut(_nearest(laid, wide, norms, n_terms))
+            assigned = cut(_nearest(laid, wide, norms))
             moved = cut(_means(laid, assigned, wide, k))
             distance, norms = _compare(wide, moved, norms)
+            drop_cut(assigned)
+            drop_cut(wide)
             done, wide, rounds = distance <= tol, moved, rounds + 1
-        assigned = cut(_nearest(laid, wide, norms, n_terms))
+        assigned = cut(_nearest(laid, wide, norms))
     finally:
         laid.unpersist()
     return Clusters(_long(wide, k), assigned, rounds, done)

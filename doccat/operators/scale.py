@@ -7,10 +7,11 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# A side is broadcast only when rows * bytes per row stay below this.
+# A side is broadcast only when its measured bytes stay below this.
 BROADCAST_BYTES = 128 << 20
 # A key is hot when it holds more than 1/HOT_SHARE of all rows: fewer than HOT_SHARE keys can.
 HOT_SHARE = 200
@@ -60,11 +61,43 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_folder(spark).rstrip('/')}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.cut_path = path
+    return table
 
 
-def fits_broadcast(rows: int, bytes_per_row: int) -> bool:
-    return rows * bytes_per_row <= BROADCAST_BYTES
+def drop_cut(table: DataFrame) -> None:
+    """Delete the files of a table that :func:`cut` wrote, once nothing reads it any more."""
+    path = table.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(table.cut_path)
+    path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _bytes(name: str, kind: T.DataType) -> Column:
+    value = F.col(f"`{name}`")
+    if isinstance(kind, T.StringType | T.BinaryType):
+        return F.coalesce(F.octet_length(value), F.lit(0)) + 16
+    if isinstance(kind, T.ArrayType):
+        if isinstance(kind.elementType, T.StringType):
+            return F.coalesce(F.aggregate(value, F.lit(24), lambda s, x: s + F.coalesce(F.octet_length(x), F.lit(0)) + 16), F.lit(8))
+        return F.greatest(F.size(value), F.lit(0)) * 16 + 24
+    if isinstance(kind, T.StructType | T.MapType):
+        return F.octet_length(F.to_json(F.struct(value)))
+    return F.lit(8)
+
+
+def measured_bytes(df: DataFrame) -> int:
+    """Bytes that the rows of ``df`` take in memory, texts by their true length; one aggregate.
+
+    ``df`` should be cheap to read (a written table).
+    """
+    row = F.lit(16)
+    for field in df.schema:
+        row = row + _bytes(field.name, field.dataType)
+    return df.agg(F.sum(row.cast("long"))).first()[0] or 0
+
+
+def fits_broadcast(df: DataFrame) -> bool:
+    return measured_bytes(df) <= BROADCAST_BYTES
 
 
 def checked_join(
@@ -74,18 +107,15 @@ def checked_join(
     *,
     spread: str,
     weight: str,
-    bytes_per_row: int = 96,
-    rows: int | None = None,
     how: str = "inner",
 ) -> DataFrame:
     """Join a large table to one with unique keys, whatever the size and skew.
 
-    ``dim`` must be cheap to count (a written table). A side below ``BROADCAST_BYTES`` is
-    broadcast. Beyond that both sides shuffle, and keys that hold a large share of ``fact``
+    ``dim`` must be cheap to read (a written table): its bytes are measured, and below
+    ``BROADCAST_BYTES`` it is broadcast. Beyond that both sides shuffle, and keys that hold a large share of ``fact``
     (by the count in ``dim[weight]``) are salted on ``spread``.
     """
-    rows = dim.count() if rows is None else rows
-    if fits_broadcast(rows, bytes_per_row):
+    if fits_broadcast(dim):
         return fact.join(F.broadcast(dim), on, how)
     return salted_join(fact, dim, on, spread=spread, weight=weight, how=how)
 

@@ -128,7 +128,7 @@ def tf_vectors(
             )
         )
         found = checked_join(
-            grams, kept, ["head", "tail"], spread="doc_id", weight="count", bytes_per_row=160
+            grams, kept, ["head", "tail"], spread="doc_id", weight="count"
         )
         tf = tf.unionByName(found.select("doc_id", "term", "tf"))
     return tf

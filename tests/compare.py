@@ -24,6 +24,22 @@ def connect(sf_dir: str):
     return con
 
 
+# Kinds of Spark and DuckDB types that hold the same values.
+KINDS = {
+    "int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "float": "FLOAT", "string": "VARCHAR", "boolean": "BOOLEAN",
+    "date": "DATE",
+}
+
+
+def type_problem(df, cursor) -> str | None:
+    theirs = {d[0]: str(d[1]) for d in cursor.description}
+    bad = [
+        f"{name} is {kind} and {theirs[name]}" for name, kind in df.dtypes
+        if kind in KINDS and name in theirs and KINDS[kind] != theirs[name].upper()
+    ]
+    return "; ".join(bad) or None
+
+
 def _key(row):
     return tuple((v is None, str(type(v)), v if v is not None else 0) for v in row)
 
@@ -37,6 +53,8 @@ def compare(spark, con, sf_dir: str, query, sql: str) -> str | None:
     columns = [d[0] for d in cursor.description]
     if sorted(columns) != names:
         return f"columns {names} and {sorted(columns)}"
+    if wrong := type_problem(df, cursor):
+        return wrong
     at = [columns.index(c) for c in names]
     theirs = sorted((tuple(r[i] for i in at) for r in cursor.fetchall()), key=_key)
     if len(mine) != len(theirs):
