@@ -42,7 +42,7 @@ GROUPS_PER_PARTITION = 3
 SEGMENT = 1 << 18
 GATHER = 1 << 21
 # Surroundings that are refined at a time, at least; a bucket is never divided.
-REFINE = 1 << 13
+REFINE = 1 << 12
 
 _RNG = np.random.default_rng(20240229)
 _TABLES = _RNG.integers(1, 1 << 63, (2, 256), np.uint64) * np.uint64(2) + np.uint64(1)
@@ -164,6 +164,8 @@ def _runs(keys: list[np.ndarray]) -> np.ndarray:
 
 def _split_rows(key: np.ndarray, order: np.ndarray):
     """``(key, rows)`` for each value of ``key[order]``, which is sorted."""
+    if not len(order):
+        return
     starts = _runs([key[order]])
     for s, e in zip(starts, np.append(starts[1:], len(order)), strict=True):
         yield int(key[order[s]]), order[s:e]
@@ -417,7 +419,8 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
             w, i, doc, s = _unblob([b for _, b in kinds[1]], WINDOWS)
             m = of(kinds[1])
             r = repeats_of([w[:, 0], w[:, 1]], doc, m << 32 | i, s)
-            found.append((m[r], i[r].astype(np.int64), s[r], s[r] + LENGTH))
+            i_, s_, e_, m_ = merge(i[r].astype(np.int64), s[r], s[r] + LENGTH, m[r])
+            found.append((m_, i_, s_, e_))
         if kinds[0]:
             i, doc, at, left, right, h, bytes_ = _unblob([b for _, b in kinds[0]], AROUNDS)
             m = of(kinds[0])
@@ -433,7 +436,9 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
                 k = k[row]
                 start = at[k] - LEFT + off
                 r = repeats_of(pointers[row, off], doc[k], m[k] << 32 | i[k], start)
-                found.append((m[k][r], i[k][r].astype(np.int64), start[r], start[r] + LENGTH))
+                # Windows of one anchor touch: as spans they take far less room.
+                i_, s_, e_, m_ = merge(i[k][r].astype(np.int64), start[r], start[r] + LENGTH, m[k][r])
+                found.append((m_, i_, s_, e_))
         if not found:
             return
         m, i, s, e = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -467,8 +472,8 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
         return pa.table([pa.array(c, f.type) for c, f in zip(columns, shape, strict=True)], schema=shape)
 
     hashed = arrow_map(keyed.select("m", "text"), hash_anchors, "s long, blob binary")
-    shared = arrow_map(hashed.repartition(partitions, "s"), find_shared, "m int, blob binary")
+    shared = arrow_map(hashed.repartitionById(partitions, F.col("s").cast("int")), find_shared, "m int, blob binary")
     made_rows = keyed.groupBy("m").cogroup(shared.groupBy("m")).applyInArrow(cut_out, "s long, kind int, m int, blob binary")
-    spans = arrow_map(made_rows.repartition(partitions, "s"), meet, "m int, blob binary")
+    spans = arrow_map(made_rows.repartitionById(partitions, F.col("s").cast("int")), meet, "m int, blob binary")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     return keyed.groupBy("m").cogroup(spans.groupBy("m")).applyInArrow(remove, schema)
