@@ -74,7 +74,7 @@ def ranked_sql(source: str, key: str, name: str) -> str:
     return f"""
 , {name} AS MATERIALIZED (
   SELECT {key}, term, weight, rank FROM (
-    SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY weight DESC, lower(term), term) AS rank FROM (
+    SELECT *, CAST(row_number() OVER (PARTITION BY {key} ORDER BY weight DESC, lower(term), term) AS INTEGER) AS rank FROM (
       SELECT {key}, term, max(weight) AS weight FROM (
         SELECT {key}, unnest(string_split(term, ' ')) AS term, CAST(round_even(w, 2) AS DOUBLE) AS weight
         FROM {source}) GROUP BY ALL))
