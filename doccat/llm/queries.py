@@ -179,4 +179,4 @@ def op4_toolcalls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op8_suffix")
 def op8_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix.drop_repeats(table(spark, sf_dir, "documents")).drop("kept")
+    return suffix.drop_repeats(table(spark, sf_dir, "documents"), kept=False)

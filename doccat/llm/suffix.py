@@ -37,7 +37,7 @@ AROUND = LEFT + LENGTH
 LARGE = 1000
 # Bytes of text in a group of documents, and groups per shuffle partition at least.
 GROUP_BYTES = 8 << 20
-GROUPS_PER_PARTITION = 3
+GROUPS_PER_PARTITION = 2
 # Bytes that are hashed at a time, anchors that a task gathers before it sends them.
 SEGMENT = 1 << 18
 GATHER = 1 << 21
@@ -246,8 +246,8 @@ def sort_group(ids: pa.ChunkedArray, texts: list[bytes]) -> tuple[list[int], np.
     return order, np.array([found[k] for k in order], np.int64)
 
 
-def drop_repeats(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept`` for each row of ``docs (doc_id, text)``.
+def drop_repeats(docs: DataFrame, kept: bool = True) -> DataFrame:
+    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` and, if asked, ``kept`` for each row of ``docs (doc_id, text)``.
 
     Each byte goes that is covered by a ``LENGTH``-byte string of the whole text's UTF-8 which also starts earlier:
     in a row with a smaller ``doc_id`` or earlier in the same row. Strings are judged on the input. ``kept`` are the
@@ -305,11 +305,13 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["m", "blob"])
 
-    made = pa.schema([("s", pa.int64()), ("kind", pa.int32()), ("m", pa.int32()), ("blob", pa.binary())])
+    made = pa.schema([
+        ("s", pa.int64()), ("m", pa.int32()), ("arounds", pa.binary()), ("windows", pa.binary()), ("spans", pa.binary()),
+    ])
 
     def cut_out(key, left: pa.Table, right: pa.Table) -> pa.Table:
         m = key[0].as_py()
-        rows: list[tuple[int, int, bytes]] = []
+        rows: list[dict] = []
         if left.num_rows and right.num_rows:
             texts = texts_of(left.column("text").combine_chunks())
             order, doc = sort_group(left.column("doc_id"), texts)
@@ -323,10 +325,9 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
             hit = shared[near] == h
             at, h, large = at[hit], h[hit], large[near[hit]].astype(bool)
             rows = settle(m, data, starts, ends, doc, at, h, large)
-        columns = list(zip(*[(s, kind, m, blob) for s, kind, blob in rows], strict=True)) or [[]] * 4
-        return pa.table([pa.array(c, f.type) for c, f in zip(columns, made, strict=True)], schema=made)
+        return pa.Table.from_pylist(rows, made)
 
-    def settle(m, data, starts, ends, doc, at, h, large) -> list[tuple[int, int, bytes]]:
+    def settle(m, data, starts, ends, doc, at, h, large) -> list[dict]:
         if not len(at):
             return []
         idx = np.searchsorted(ends, at, "right")
@@ -335,7 +336,7 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
         padded = np.concatenate([np.zeros(LEFT, np.uint8), data, np.zeros(LENGTH, np.uint8)])
         views = np.lib.stride_tricks.sliding_window_view(padded, AROUND)
         spans: list[tuple[np.ndarray, ...]] = []
-        kept: list[np.ndarray] = []
+        alone: list[np.ndarray] = []
         hot: list[tuple[np.ndarray, ...]] = []
         place = np.arange(AROUND)
         weights = np.random.default_rng(5).integers(1, 1 << 62, AROUND, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -361,7 +362,7 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
             rows = rows[order[~same]]
             bytes_ = bytes_[order[~same]]
             big = large[rows]
-            kept.append(rows[~big])
+            alone.append(rows[~big])
             if big.any():
                 r = rows[big]
                 w = window_hashes(bytes_[big])
@@ -369,8 +370,13 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
                 there = (o >= LEFT - left[r][:, None]) & (o + LENGTH <= LEFT + right[r][:, None].astype(np.int64))
                 row, off = np.nonzero(there)
                 hot.append((w[row, off], idx[r][row], at[r][row] - starts[idx[r]][row] - LEFT + off))
-        rows = np.concatenate(kept)
-        out = []
+        rows = np.concatenate(alone)
+        # One row per part that the blobs are dealt to; more only for very large blobs.
+        out: dict[tuple[int, int], dict] = {}
+
+        def put(part: int, chunk: int, name: str, blob: bytes) -> None:
+            out.setdefault((part, chunk), {"s": part, "m": m})[name] = blob
+
         if hot:
             w, i, s = (np.concatenate(x) for x in zip(*hot, strict=True))
             order = np.lexsort((s, i, w[:, 1], w[:, 0]))
@@ -382,19 +388,19 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
             w, i, s = w[head], i[head], s[head]
             part = (w[:, 0] >> np.uint64(32)).astype(np.int64) % partitions
             for p, r in _split_rows(part, np.argsort(part, kind="stable")):
-                out.append((p, 1, _blobs([w[r], i[r].astype("<i4"), doc[i[r]], s[r]])))
+                put(p, 0, "windows", _blobs([w[r], i[r].astype("<i4"), doc[i[r]], s[r]]))
         part = (h[rows] % np.uint64(partitions)).astype(np.int64)
         for p, r in _split_rows(part, np.argsort(part, kind="stable")):
-            for low in range(0, len(r), 1 << 14):
-                k = rows[r[low : low + (1 << 14)]]
-                out.append((p, 0, _blobs([
+            for chunk, low in enumerate(range(0, len(r), 1 << 16)):
+                k = rows[r[low : low + (1 << 16)]]
+                put(p, chunk, "arounds", _blobs([
                     idx[k].astype("<i4"), doc[idx[k]], at[k] - starts[idx[k]], left[k], right[k], h[k],
                     clean(views[at[k]], left[k], right[k], place),
-                ])))
+                ]))
         i, s, e = merge(*(np.concatenate(x) for x in zip(*spans, strict=True)))
         if len(i):
-            out.append((m % partitions, 2, _blobs([i.astype("<i4"), s.astype(np.int64), e.astype(np.int64)])))
-        return out
+            put(m % partitions, 0, "spans", _blobs([i.astype("<i4"), s.astype(np.int64), e.astype(np.int64)]))
+        return list(out.values())
 
     def clean(bytes_: np.ndarray, left: np.ndarray, right: np.ndarray, place: np.ndarray) -> np.ndarray:
         """Zeros where the surroundings reach into another document."""
@@ -402,10 +408,13 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
         return np.where(inside, bytes_, 0).astype(np.uint8)
 
     def meet(batches: Batches) -> Batches:
-        kinds: dict[int, list[tuple[int, bytes]]] = {0: [], 1: [], 2: []}
+        names = ("arounds", "windows", "spans")
+        kinds: list[list[tuple[int, bytes]]] = [[] for _ in names]
         for batch in batches:
-            for kind, m, blob in zip(*(batch.column(c).to_pylist() for c in ("kind", "m", "blob")), strict=True):
-                kinds[kind].append((m, blob))
+            groups_ = batch.column("m").to_pylist()
+            for held, name in zip(kinds, names, strict=True):
+                column = batch.column(name).to_pylist()
+                held += [(m, blob) for m, blob in zip(groups_, column, strict=True) if blob is not None]
         found: list[tuple[np.ndarray, ...]] = []  # group, row, start, end
 
         def of(blobs: list[tuple[int, bytes]]) -> np.ndarray:
@@ -449,7 +458,7 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
 
     shape = pa.schema([
         ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()),
-        ("kept_sha256", pa.string()), ("kept", pa.binary()),
+        ("kept_sha256", pa.string()), *([("kept", pa.binary())] if kept else []),
     ])
 
     def remove(key, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -466,14 +475,17 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
                 parts.append(text[at:a])
                 gone += b - a
                 at = b
-            kept = b"".join([*parts, text[at:]])
-            rows.append((ids[k], len(text), gone, int(high[n] - low[n]), hashlib.sha256(kept).hexdigest(), kept))
-        columns = list(zip(*rows, strict=True)) or [[]] * 6
+            rest = b"".join([*parts, text[at:]])
+            row = (ids[k], len(text), gone, int(high[n] - low[n]), hashlib.sha256(rest).hexdigest())
+            rows.append((*row, rest) if kept else row)
+        columns = list(zip(*rows, strict=True)) or [[]] * len(shape)
         return pa.table([pa.array(c, f.type) for c, f in zip(columns, shape, strict=True)], schema=shape)
 
     hashed = arrow_map(keyed.select("m", "text"), hash_anchors, "s long, blob binary")
     shared = arrow_map(hashed.repartitionById(partitions, F.col("s").cast("int")), find_shared, "m int, blob binary")
-    made_rows = keyed.groupBy("m").cogroup(shared.groupBy("m")).applyInArrow(cut_out, "s long, kind int, m int, blob binary")
+    made_rows = keyed.groupBy("m").cogroup(shared.groupBy("m")).applyInArrow(
+        cut_out, "s long, m int, arounds binary, windows binary, spans binary"
+    )
     spans = arrow_map(made_rows.repartitionById(partitions, F.col("s").cast("int")), meet, "m int, blob binary")
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * kept
     return keyed.groupBy("m").cogroup(spans.groupBy("m")).applyInArrow(remove, schema)
