@@ -56,12 +56,24 @@ _SPACES = re.compile(f"(?<=[{EDGE}]) (?=[{EDGE}])")
 _EDGED = re.compile(f"[{EDGE}](?:.*[{EDGE}])?", re.DOTALL)
 _PLAIN = re.compile(f"[!-&(-~{LETTERS}](?:[\n!-&(-~{LETTERS}]*[!-&(-~{LETTERS}])?")
 _RUNS = re.compile(f"[{LETTERS}]+|[^{LETTERS}]+")
+# One word of letters whose lower case is as long: surely one piece, which the model alone can encode.
+_WORD = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
 # Most pieces that a worker remembers, and the longest one that is worth it.
 REMEMBERED = 700_000
 LONGEST = 48
 _ENCODERS: dict[tuple[str, bool], PieceEncoder] = {}
 
 
+def byte_letters() -> dict[int, str]:
+    """The characters that stand for bytes in byte-level vocabularies.
+
+    Printable ones stand for themselves, the others follow from 256 on.
+    """
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in set(plain)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + n) for n, b in enumerate(others)}
+
+
 class PieceEncoder:
     """Token ids of whole texts, equal to ``Tokenizer.encode(text, add_special_tokens=False)``.
 
@@ -80,6 +92,8 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
+        self.letters = byte_letters()
         self.lead = " " if spaced else ""
         wide = self.tokenizer.get_vocab_size() > 1 << 16
         self.code, self.kind = ("I", "<u4") if wide else ("H", "<u2")
@@ -90,6 +104,12 @@ class PieceEncoder:
         found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
         return [array(self.code, x.ids).tobytes() for x in found]
 
+    def _word(self, word: str) -> bytes:
+        """Ids of one word; the word vocabulary has lower case only."""
+        plain = word if self.lead else word.lower()
+        found = self.model.tokenize(plain.encode().decode("latin-1").translate(self.letters))
+        return array(self.code, [x.id for x in found]).tobytes()
+
     def _learn(self, pieces: list[str]) -> dict[str, bytes]:
         """Ids of pieces that are not known yet; each is preceded by a space in its text."""
         if len(self.known) > REMEMBERED:
@@ -105,7 +125,9 @@ class PieceEncoder:
             for run in cut:
                 if run not in self.runs:
                     new[run] = b""
-        new = dict(zip(new, self._ids(list(new)), strict=True))
+        words = [r for r in new if _WORD.fullmatch(r)]
+        others = [r for r in new if not _WORD.fullmatch(r)]
+        new = dict(zip(others, self._ids(others), strict=True)) | {r: self._word(r) for r in words}
         out = {}
         for piece, cut in parts.items():
             ids = b"".join([self.runs[r] if r in self.runs else new[r] for r in cut])
