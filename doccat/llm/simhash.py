@@ -21,8 +21,8 @@ CHUNK = 1 << 14
 BUCKET = 1 << 12
 
 
-def fingerprint(text: bytes, words: int = WORDS) -> int:
-    """A bit is 1 if more than half of the shingles' XXH64 have it. No word: 0.
+def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
+    """XXH64 of each run of ``words`` words, in order; fewer words are one shingle, none are none.
 
     A-Z are lower-cased; words are runs of bytes other than 09 to 0D and 20.
     """
@@ -30,13 +30,18 @@ def fingerprint(text: bytes, words: int = WORDS) -> int:
 
     found = text.lower().split()
     if not found:
-        return 0
+        return np.empty(0, "<u8")
     line = b" ".join(found)
     sizes = np.fromiter(map(len, found), np.int64, len(found))
     ends = np.cumsum(sizes + 1) - 1
     starts = (ends - sizes).tolist()
     ends = ends[min(words, len(found)) - 1 :].tolist()
-    hashes = np.array([xxh64_intdigest(line[s:e], SEED) for s, e in zip(starts, ends)], "<u8")
+    return np.array([xxh64_intdigest(line[s:e], SEED) for s, e in zip(starts, ends)], "<u8")
+
+
+def fingerprint(text: bytes, words: int = WORDS) -> int:
+    """A bit is 1 if more than half of the shingles' XXH64 have it. No word: 0."""
+    hashes = shingles(text, words)
     ones = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), CHUNK):
         part = hashes[at : at + CHUNK].view(np.uint8).reshape(-1, 8)
