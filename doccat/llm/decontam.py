@@ -19,7 +19,7 @@ BITS = 64
 # Fingerprints up to this many bits apart are candidates; the index has BLOCKS tables.
 RADIUS = 19
 BLOCKS = 8
-# Items with fewer words say too little and are not searched for.
+# Items with fewer words have too few shingles for a similarity and are matched word for word.
 LEAST_WORDS = 8
 # Bytes of item text whose index goes to the executors at once; more items take further passes.
 INDEX_BYTES = 2 << 20
@@ -56,7 +56,15 @@ class Index:
     """
 
     def __init__(self, items: list[tuple[int, str]]):
-        kept = [(i, hashes_of(w)) for i, w in ((i, words_of(t)) for i, t in items) if len(w) >= LEAST_WORDS]
+        split = [(i, words_of(t)) for i, t in items]
+        kept = [(i, hashes_of(w)) for i, w in split if len(w) >= LEAST_WORDS]
+        # Short items by their words, and by a first word the lengths that can follow.
+        self.short: dict[tuple[str, ...], list[int]] = {}
+        self.lengths: dict[str, set[int]] = {}
+        for i, w in split:
+            if 0 < len(w) < LEAST_WORDS:
+                self.short.setdefault(tuple(w), []).append(i)
+                self.lengths.setdefault(w[0], set()).add(len(w))
         self.ids = [i for i, _ in kept]
         self.counts = [Counter(h.tolist()) for _, h in kept]
         spread = Counter(s for c in self.counts for s in c)
@@ -129,6 +137,19 @@ def window_hits(hashes: np.ndarray, index: Index, least: float) -> list[tuple[in
     return sorted(best.values())
 
 
+def short_hits(words: list[str], index: Index) -> list[tuple[int, int, int]]:
+    """``(item id, first word, words)``: the first place of each short item that stands in ``words`` as it is."""
+    if not index.short:
+        return []
+    first: dict[tuple[str, ...], int] = {}
+    for at, word in enumerate(words):
+        for n in index.lengths.get(word, ()):
+            item = tuple(words[at : at + n])
+            if item in index.short:
+                first.setdefault(item, at)
+    return sorted((i, at, len(item)) for item, at in first.items() for i in index.short[item])
+
+
 def _search(hashes, low: int, high: int, index: Index, least: float, best: dict) -> None:
     part = hashes[low:high]
     weights = index.weigh(part)
@@ -180,7 +201,7 @@ def contaminated(docs: DataFrame, items: DataFrame, least: float = SIMILARITY) -
 
     One row per row of ``docs`` and item whose best window reaches ``least``; ties go to the first window.
     Words are lower-cased runs of letters, digits and underscores, shingles have five. Items of fewer than
-    ``LEAST_WORDS`` words are not searched for; null ids and texts are left out of ``items``, and an item id that
+    ``LEAST_WORDS`` words are found where all their words stand in a row; null ids and texts are left out of ``items``, and an item id that
     comes twice counts as two items. A null or short text has no row, neither has an empty table. Other
     columns are not read. The documents are read once per ``INDEX_BYTES`` of item text.
     """
@@ -196,8 +217,11 @@ def contaminated(docs: DataFrame, items: DataFrame, least: float = SIMILARITY) -
             for batch in batches:
                 rows = []
                 for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                    for k, s, first, n, d in window_hits(hashes_of(words_of(text)), index, least):
+                    words = words_of(text)
+                    for k, s, first, n, d in window_hits(hashes_of(words), index, least):
                         rows.append((doc_id, index.ids[k], s, first, n + SHINGLE - 1, d))
+                    for i, first, n in short_hits(words, index):
+                        rows.append((doc_id, i, 1.0, first, n, 0))
                 if rows:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), shape, strict=True)], schema=shape

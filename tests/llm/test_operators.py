@@ -281,6 +281,30 @@ def test_contaminated(spark, docs, empty):
     assert decontam.contaminated(empty, table).count() == decontam.contaminated(docs, table.limit(0)).count() == 0
 
 
+def test_short_items_are_found_word_for_word(spark):
+    rng = np.random.default_rng(8)
+    items = [" ".join(f"s{n}{k}" for k in range(n)) for n in range(1, 9)] + ["S20, s21!", "!?", ""]
+    texts = []
+    for k in range(60):
+        base = [f"b{x}" for x in rng.integers(0, 50, int(rng.integers(0, 30)))]
+        item = decontam.words_of(items[k % 9])
+        if k // 9 % 3 == 1:
+            item = item[:-1]
+        at = int(rng.integers(0, len(base) + 1))
+        texts.append(" ".join([*base[:at], *item, *base[at:], *(item if k // 9 % 3 == 2 else [])]))
+    table = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    docs = awkward(spark, [(i, t, "en") for i, t in enumerate(texts)]).repartition(3)
+    wanted = set()
+    for d, text in enumerate(texts):
+        words = decontam.words_of(text)
+        for i, item in enumerate(map(decontam.words_of, items)):
+            places = [s for s in range(len(words)) if item and words[s : s + len(item)] == item]
+            if places:
+                wanted.add((d, i, 1.0, places[0], len(item)))
+    assert {tuple(r)[:5] for r in decontam.contaminated(docs, table).collect()} == wanted and len({x[1] for x in wanted}) == 9
+    assert {r["doc_id"] for r in decontam.keep_clean(docs, table).collect()} == set(range(60)) - {x[0] for x in wanted}
+
+
 def test_blocks_find_all_within_the_radius():
     rng = np.random.default_rng(5)
     near = decontam.nearby(8, decontam.RADIUS // decontam.BLOCKS)
