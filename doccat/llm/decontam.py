@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from doccat.llm.common import Batches, arrow_map
+from doccat.operators.scale import with_row_key
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -240,10 +241,9 @@ def contaminated(docs: DataFrame, items: DataFrame, least: float = SIMILARITY) -
 def keep_clean(docs: DataFrame, items: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` in which no item is found, all columns as they are.
 
-    Rows of one ``doc_id`` go together; of rows without an id, all go if one has an item.
+    Each row goes or stays by its own text, also if it shares its ``doc_id`` with others or has none.
     """
-    bad = contaminated(docs, items, least).select("doc_id").distinct()
-    key = [F.coalesce(F.col("doc_id"), F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_none")]
-    # All columns travel in one, so none can clash with the keys.
-    marked = docs.select(F.struct("*").alias("_doc"), *key)
-    return marked.join(bad.select(*key), ["_id", "_none"], "left_anti").select("_doc.*")
+    rows = with_row_key(docs)
+    found = contaminated(rows.select(F.col("_row").alias("doc_id"), "_doc.text"), items, least)
+    bad = found.select(F.col("doc_id").alias("_row")).distinct()
+    return rows.join(bad, "_row", "left_anti").select("_doc.*")

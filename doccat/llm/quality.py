@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from doccat.operators.scale import cut
+from doccat.operators.scale import cut, with_row_key
 
 SPACE = r"[\x20\x09-\x0D]+"
 WINDOW = 5
@@ -190,12 +190,8 @@ def judge(docs: DataFrame, most: float = MOST_DISTANCE, chance: float = CHANCE)
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that :func:`judge` keeps, all columns as they are.
 
-    Of rows that share a ``doc_id`` all stay or all go: they go if any is rejected. Rows without an
-    id can't be told apart and are judged together like rows of one id.
+    Each row goes or stays by its own text, also if it shares its ``doc_id`` with others or has none.
     """
-    bad = judge(docs).filter(~F.col("kept")).select("doc_id").distinct()
-    # Null-safe, by two ordinary keys.
-    key = [F.coalesce(F.col("doc_id"), F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_none")]
-    # All columns travel in one, so none can clash with the keys.
-    marked = docs.select(F.struct("*").alias("_doc"), *key)
-    return marked.join(bad.select(*key), ["_id", "_none"], "left_anti").select("_doc.*")
+    rows = with_row_key(docs)
+    bad = judge(rows.select(F.col("_row").alias("doc_id"), "_doc.lang", "_doc.text")).filter(~F.col("kept"))
+    return rows.join(bad.select(F.col("doc_id").alias("_row")), "_row", "left_anti").select("_doc.*")

@@ -85,6 +85,17 @@ def test_quality_keeps_columns(docs, empty):
     assert quality.judge(empty).count() == quality.keep_good(empty).count() == 0
 
 
+def test_rows_go_or_stay_by_their_own_text(spark):
+    prose = " ".join(f"{PLAIN} Line {k} of the story." for k in range(9))
+    rows = [(None, f"{PLAIN} {k}", "en") for k in range(5)] + [(None, "junk", "en"), (1, PLAIN, "en"), (1, "junk", "en")]
+    good = quality.keep_good(awkward(spark, rows).repartition(3)).collect()
+    assert sorted(r["text"] for r in good) == sorted(t for _, t, _ in rows if t != "junk")
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    rows = [(None, PLAIN, "en"), (None, item, "en"), (None, prose, "en"), (2, PLAIN, "en"), (2, f"{item} x", "en")]
+    clean = decontam.keep_clean(awkward(spark, rows).repartition(3), spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert sorted((str(r["doc_id"]), r["text"]) for r in clean.collect()) == sorted([("None", PLAIN), ("None", prose), ("2", PLAIN)])
+
+
 # 2: token shards
 
 @pytest.mark.parametrize("n", [0, 1, 5, 1023, 1024, 1025, 5000])
