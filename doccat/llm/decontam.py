@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from doccat.llm.common import Batches, arrow_map
-from doccat.operators.scale import with_row_key
+from doccat.operators.scale import cut, with_row_key, without
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -245,5 +245,4 @@ def keep_clean(docs: DataFrame, items: DataFrame, least: float = SIMILARITY) ->
     """
     rows = with_row_key(docs)
     found = contaminated(rows.select(F.col("_row").alias("doc_id"), "_doc.text"), items, least)
-    bad = found.select(F.col("doc_id").alias("_row")).distinct()
-    return rows.join(bad, "_row", "left_anti").select("_doc.*")
+    return without(rows, cut(found.select(F.col("doc_id").alias("_row")).distinct()), "_row").select("_doc.*")

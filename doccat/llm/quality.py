@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from doccat.operators.scale import cut, with_row_key
+from doccat.operators.scale import cut, with_row_key, without
 
 SPACE = r"[\x20\x09-\x0D]+"
 WINDOW = 5
@@ -194,4 +194,4 @@ def keep_good(docs: DataFrame) -> DataFrame:
     """
     rows = with_row_key(docs)
     bad = judge(rows.select(F.col("_row").alias("doc_id"), "_doc.lang", "_doc.text")).filter(~F.col("kept"))
-    return rows.join(bad.select(F.col("doc_id").alias("_row")), "_row", "left_anti").select("_doc.*")
+    return without(rows, cut(bad.select(F.col("doc_id").alias("_row"))), "_row").select("_doc.*")
