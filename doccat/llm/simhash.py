@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from doccat.llm.common import Batches, arrow_map, texts_of
 from doccat.llm.graph import components
-from doccat.operators.scale import cut
+from doccat.operators.scale import cut, with_row_key, without
 
 BITS = 64
 WORDS = 4
@@ -49,8 +49,8 @@ def fingerprint(text: bytes, words: int = WORDS) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """``doc_id, fp``: the fingerprint of each row's whole ``text`` as a signed long.
+def fingerprints(docs: DataFrame, words: int = WORDS, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The long columns ``keys`` and ``fp``: the fingerprint of each row's whole ``text`` as a signed long.
 
     A null text has no word, so its fingerprint is 0. Other columns are not read.
     """
@@ -59,11 +59,11 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
         for batch in batches:
             found = [fingerprint(t, words) for t in texts_of(batch.column("text"))]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(np.array(found, np.uint64).view(np.int64))], ["doc_id", "fp"]
+                [*map(batch.column, keys), pa.array(np.array(found, np.uint64).view(np.int64))], [*keys, "fp"]
             )
 
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return arrow_map(docs, sign, "doc_id long, fp long")
+    docs = docs.select(*[F.col(k).cast("long").alias(k) for k in keys], F.col("text").cast("string").alias("text"))
+    return arrow_map(docs, sign, "".join(f"{k} long, " for k in keys) + "fp long")
 
 
 def covering_masks(radius: int, bits: int = BITS, within: int | None = None) -> list[int]:
@@ -169,36 +169,48 @@ def near_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     return arrow_map(dealt, link, "a long, b long").distinct()
 
 
+def linked_groups(signed: DataFrame, radius: int, first: Column) -> DataFrame:
+    """``fp, low``: per distinct ``fp`` of the written table ``signed`` the smallest ``first`` that links reach.
+
+    Copies share a fingerprint, and everything here works on one row per distinct one.
+    """
+    # One node per fingerprint: its smallest value, if any, and a number that is surely its own.
+    nodes = cut(signed.groupBy("fp").agg(F.min(first).alias("first")).withColumn("id", F.monotonically_increasing_id()))
+    found = components(near_links(nodes, radius))
+    grouped = nodes.join(found, nodes["id"] == found["node"]).select("fp", "first", "component")
+    lows = grouped.groupBy("component").agg(F.min("first").alias("low"))
+    linked = grouped.join(lows, "component").select("fp", "low")
+    return cut(nodes.join(linked, "fp", "left").select("fp", F.coalesce("low", "first").alias("low")))
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
     """``doc_id, fingerprint, component_id`` for each row of ``docs (doc_id, text)``.
 
     Documents whose fingerprints differ in ``radius`` bits or fewer are linked, and
     ``component_id`` is the smallest ``doc_id`` that links reach. Documents without a word have
-    fingerprint 0 and are linked like any other. Copies share a fingerprint, and everything after
-    the fingerprints works on one row per distinct one. Rows that repeat a ``doc_id`` are linked by
+    fingerprint 0 and are linked like any other. Rows that repeat a ``doc_id`` are linked by
     their own texts. A null ``doc_id`` links others but is no component id; a component of
     such rows alone has a null one. Other columns are not read. An empty table stays empty.
     """
     signed = cut(fingerprints(docs, words))
-    # One node per fingerprint: its smallest id, if any, and a number that is surely its own.
-    nodes = cut(
-        signed.groupBy("fp").agg(F.min("doc_id").alias("first")).withColumn("id", F.monotonically_increasing_id())
-    )
-    found = components(near_links(nodes, radius))
-    grouped = nodes.join(found, nodes["id"] == found["node"]).select("fp", "first", "component")
-    lows = grouped.groupBy("component").agg(F.min("first").alias("low"))
-    linked = grouped.join(lows, "component").select("fp", "low")
-    labels = cut(nodes.join(linked, "fp", "left").select("fp", F.coalesce("low", "first").alias("component_id")))
+    labels = linked_groups(signed, radius, F.col("doc_id"))
     return signed.join(labels, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("low").alias("component_id")
     )
 
 
 def one_per_group(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs`` that stay: of each component the row with the smallest ``doc_id``.
+    """The rows of ``docs`` that stay: one of each component, that with the smallest ``doc_id``.
 
-    All rows of that id stay, unless they are equal; rows without an id stay. Columns are kept.
+    Of rows that share this id, and in components without any id, any one stays. Each row is linked by its
+    own text, whether its ``doc_id`` is null or repeated. Texts without a word are one component. Columns are
+    kept as they are; an empty table stays empty.
     """
-    found = near_duplicates(docs, words, radius)
-    gone = found.filter(F.col("component_id") < F.col("doc_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    rows = with_row_key(docs)
+    keyed = rows.select(F.col("_doc.doc_id").alias("doc_id"), "_row", "_doc.text")
+    signed = cut(fingerprints(keyed, words, ("doc_id", "_row")))
+    # Rows without an id come after all others.
+    place = F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "_row")
+    labels = linked_groups(signed, radius, place)
+    gone = signed.join(labels, "fp").filter(F.col("_row") != F.col("low._row")).select("_row")
+    return without(rows, cut(gone), "_row").select("_doc.*")
