@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from doccat.llm import decontam, neardup, packing, pii, quality
+from doccat.llm import decontam, packing, pii, quality, simhash
 from doccat.llm.queries import vocabulary
 from doccat.operators.scale import cut, ship_code
 
@@ -19,8 +19,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that share four fifths of their shingles, directly or over others, the smallest ``doc_id`` stays."""
-    return neardup.one_per_set(docs)
+    """Of documents linked by fingerprints of four words within four bits, the smallest ``doc_id`` stays."""
+    return simhash.one_per_group(docs, words=4, radius=4)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
