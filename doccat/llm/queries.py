@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doccat.llm import decontam, langid, packing, pii, quality, simhash, suffix, tokens, toolcalls, warc
+from doccat.llm import decontam, langid, merkle, packing, pii, quality, simhash, suffix, tokens, toolcalls, warc
 from doccat.llm.common import new_folder
 from doccat.operators.scale import ship_code
 
@@ -180,3 +180,67 @@ def op4_toolcalls(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_suffix")
 def op8_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.drop_repeats(table(spark, sf_dir, "documents"), kept=False)
+
+
+def crc32_sql(text: str) -> str:
+    """The unsigned CRC-32 of an ASCII text in DuckDB, bit by bit."""
+    bit = "xor(c >> 1, 3988292384 * (c & 1))"
+    step = f"list_reduce(range(8), lambda c, k: {bit}, xor(c, b))"
+    return f"xor(list_reduce(list_transform(string_split({text}, ''), lambda x: CAST(ord(x) AS BIGINT)), lambda c, b: {step}, CAST(4294967295 AS BIGINT)), 4294967295)"
+
+
+def merkle_sql(source_levels: int = 6, top_levels: int = 4) -> str:
+    """``merkle.manifest`` in DuckDB for up to ``16**levels`` documents a source and sources."""
+
+    def leaf(text: str) -> str:
+        values = {**{c: c for c in merkle.FIELDS}, "text": text}
+        each = [f"CASE WHEN {c} IS NULL THEN '-' ELSE concat(strlen(CAST({v} AS VARCHAR)), ':', {v}) END" for c, v in values.items()]
+        return f"sha256(concat({', '.join(each)}))"
+
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+    def level(name: str, k: int) -> str:
+        run = "PARTITION BY tree, pos // 16 ORDER BY pos ROWS BETWEEN"
+        return f"""{name}s{k} AS (SELECT tree, pos, n, h,
+          coalesce(string_agg(h, '') OVER ({run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+          coalesce(string_agg(h, '') OVER ({run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM {name}{k}),
+        {name}{k + 1} AS (SELECT tree, pos // 16 AS pos, (n + 15) // 16 AS n,
+          CASE WHEN n > 1 THEN sha256(string_agg(h, '' ORDER BY pos)) ELSE any_value(h) END AS h FROM {name}{k} GROUP BY tree, pos // 16, n)"""
+
+    def climb(name: str, k: int, tree: str, pos: str, before: str) -> str:
+        return f"""{name}f{k} AS (SELECT d.* EXCLUDE (proof, f), d.proof || x.l || x.r AS proof,
+          CASE WHEN x.n > 1 THEN sha256(x.l || d.f || x.r) ELSE d.f END AS f
+          FROM {before} d JOIN {name}s{k} x ON x.tree = d.{tree} AND x.pos = d.{pos} // {16 ** k})"""
+
+    parts = [
+        f"""d AS (SELECT doc_id, source, {leaf('text')} AS leaf,
+          CASE WHEN {crc32_sql('CAST(doc_id AS VARCHAR)')} % 5 = 0 THEN {leaf(lower)} END AS other FROM documents)""",
+        "src AS (SELECT source, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS tree FROM (SELECT DISTINCT source FROM documents))",
+        """p AS (SELECT doc_id, leaf, other, tree, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+          count(*) OVER (PARTITION BY tree) AS n FROM d JOIN src ON d.source IS NOT DISTINCT FROM src.source)""",
+        "a0 AS (SELECT tree, pos, n, leaf AS h FROM p)",
+        *[level("a", k) for k in range(source_levels)],
+        f"z0 AS (SELECT 0 AS tree, tree AS pos, count(*) OVER () AS n, h FROM a{source_levels})",
+        *[level("z", k) for k in range(top_levels)],
+        "c AS (SELECT doc_id, leaf, tree, 0 AS zero, pos, coalesce(other, leaf) AS f, '' AS proof FROM p)",
+    ]
+    before = "c"
+    for k in range(source_levels):
+        parts.append(climb("a", k, "tree", "pos", before))
+        before = f"af{k}"
+    for k in range(top_levels):
+        parts.append(climb("z", k, "zero", "tree", before))
+        before = f"zf{k}"
+    ctes = ",\n".join(parts)
+    return f"""WITH {ctes}
+    SELECT c.doc_id, c.leaf, u.h AS subroot, t.h AS root, sha256(c.proof) AS proof_sha256, c.f AS folded_root, c.f = t.h AS verified
+    FROM {before} c JOIN a{source_levels} u ON u.tree = c.tree CROSS JOIN z{top_levels} t"""
+
+
+@query("op12_merkle", merkle_sql())
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # A translate of A-Z: other letters stay as they are.
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
+    found = merkle.manifest(table(spark, sf_dir, "documents"), tampered, {"text": lower})
+    return found.select("doc_id", "leaf", "subroot", "root", merkle.proof().alias("proof_sha256"), "folded_root", "verified")
