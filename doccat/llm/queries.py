@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doccat.llm import decontam, langid, merkle, packing, pii, quality, simhash, suffix, tokens, toolcalls, warc
+from doccat.llm import decontam, jaccard, langid, merkle, packing, pii, quality, runs, simhash, suffix, tokens, toolcalls, warc
 from doccat.llm.common import new_folder
 from doccat.operators.scale import ship_code
 
@@ -244,3 +244,24 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     tampered = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
     found = merkle.manifest(table(spark, sf_dir, "documents"), tampered, {"text": lower})
     return found.select("doc_id", "leaf", "subroot", "root", merkle.proof().alias("proof_sha256"), "folded_root", "verified")
+
+
+@query("op11_runs")
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.filter(F.split("text", runs.SPACE), lambda w: w != "")
+    looped = F.when((h % 10 == 0) & (F.size(words) > 0), F.array_join(runs.loop_tail(words, h), " ")).otherwise(F.col("text"))
+    found = runs.find_runs(table(spark, sf_dir, "documents").select("doc_id", looped.alias("text")))
+    best = runs.longest()
+    names = ("start", "length", "period")
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", *[r[n].cast("string") for n in names]), F.lit("\n")))
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("best.s").alias("start"), (-F.col("best.l")).alias("length"),
+        F.col("best.p").alias("period"), F.floor(-1000 * F.col("best.l") / F.col("best.p")).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+@query("op13_jaccard")
+def op13_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_groups(table(spark, sf_dir, "documents"), words=3, percent=90)
