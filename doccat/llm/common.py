@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import uuid
 from array import array
@@ -9,6 +10,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
@@ -16,14 +19,19 @@ from doccat.operators.scale import checkpoint_folder, ship_code
 
 # Bytes after which Spark ends a batch for a Python worker; a single long text may be larger.
 BATCH_BYTES = 4 << 20
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 Batches = Iterator[pa.RecordBatch]
 
 
 def arrow_map(df: DataFrame, func: Callable[[Batches], Batches], schema: str | StructType) -> DataFrame:
-    """``mapInArrow`` with this package on the executors and batches that fit a worker."""
+    """``mapInArrow`` with this package on the executors and batches that fit a worker.
+
+    The size of a batch is a setting of the session; one that the user has made stays.
+    """
     spark = df.sparkSession
     ship_code(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    if BATCH_SETTING not in spark.conf.getAll:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
     return df.mapInArrow(func, schema)
 
 
@@ -53,14 +61,15 @@ def texts_of(column: pa.Array) -> list[bytes]:
 EDGE = "!-~¡-ɏ"
 LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 _SPACES = re.compile(f"(?<=[{EDGE}]) (?=[{EDGE}])")
-_EDGED = re.compile(f"[{EDGE}](?:.*[{EDGE}])?", re.DOTALL)
-_PLAIN = re.compile(f"[!-&(-~{LETTERS}](?:[\n!-&(-~{LETTERS}]*[!-&(-~{LETTERS}])?")
-_RUNS = re.compile(f"[{LETTERS}]+|[^{LETTERS}]+")
-# One word of letters whose lower case is as long: surely one piece, which the model alone can encode.
-_WORD = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
-# Most pieces that a worker remembers, and the longest one that is worth it.
+# Patterns of Arrow's regular expressions: a piece without apostrophe or odd characters, and one word of letters whose
+# lower case is as long, which is surely one piece.
+_PLAIN = f"^[!-&(-~{LETTERS}](?:[\n!-&(-~{LETTERS}]*[!-&(-~{LETTERS}])?$"
+_WORD = "^ ?[A-Za-zÀ-ÖØ-öø-ÿ]+$"
+# Most runs that a worker remembers, and the longest one that is worth it.
 REMEMBERED = 700_000
 LONGEST = 48
+# Characters of text that are cut at once.
+ENCODED = 16 << 20
 _ENCODERS: dict[tuple[str, bool], PieceEncoder] = {}
 
 
@@ -78,88 +87,188 @@ class PieceEncoder:
     """Token ids of whole texts, equal to ``Tokenizer.encode(text, add_special_tokens=False)``.
 
     A text is cut at single spaces between plain characters. Both tokenizers begin a new piece
-    there, so the ids of the cut pieces joined are the ids of the text, and the ids of a piece
-    can be remembered. Pieces without an apostrophe or an odd character are cut once more
-    between letters and other characters, which are never in one piece either.
-    ``spaced`` says that a piece keeps the space before it (byte-level vocabularies).
+    there, so the ids of the cut pieces joined are the ids of the text. Pieces without an
+    apostrophe or an odd character are cut once more into runs of letters and of other characters,
+    which are never in one piece either. Many texts are cut at once by Arrow, each different run
+    is looked up once, and its ids are remembered. ``spaced`` says that a piece keeps the space before it
+    (byte-level vocabularies). A text that holds one of the file's added tokens, in any case, goes to the
+    library as it is.
     """
 
     def __init__(self, path: str, spaced: bool):
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.letters = byte_letters()
         self.lead = " " if spaced else ""
+        self.added = [x.content.lower() for x in self.tokenizer.get_added_tokens_decoder().values()]
         wide = self.tokenizer.get_vocab_size() > 1 << 16
-        self.code, self.kind = ("I", "<u4") if wide else ("H", "<u2")
-        self.known: dict[str, bytes] = {}
+        self.code, self.kind, self.width = ("I", "<u4", 4) if wide else ("H", "<u2", 2)
         self.runs: dict[str, bytes] = {}
 
     def _ids(self, pieces: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
         return [array(self.code, x.ids).tobytes() for x in found]
 
-    def _word(self, word: str) -> bytes:
-        """Ids of one word; the word vocabulary has lower case only."""
-        plain = word if self.lead else word.lower()
-        found = self.model.tokenize(plain.encode().decode("latin-1").translate(self.letters))
-        return array(self.code, [x.id for x in found]).tobytes()
-
-    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
-        """Ids of pieces that are not known yet; each is preceded by a space in its text."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        if len(self.runs) > REMEMBERED:
-            self.runs.clear()
-        parts, new = {}, {}
-        for piece in pieces:
-            plain = _PLAIN.fullmatch(piece) and "\n\n" not in piece
-            cut = _RUNS.findall(piece) if plain else [piece]
-            cut[0] = self.lead + cut[0]
-            parts[piece] = cut
-            for run in cut:
-                if run not in self.runs:
-                    new[run] = b""
-        words = [r for r in new if _WORD.fullmatch(r)]
-        others = [r for r in new if not _WORD.fullmatch(r)]
-        new = dict(zip(others, self._ids(others), strict=True)) | {r: self._word(r) for r in words}
-        out = {}
-        for piece, cut in parts.items():
-            ids = b"".join([self.runs[r] if r in self.runs else new[r] for r in cut])
-            out[piece] = ids
-            if len(piece) <= LONGEST:
-                self.known[piece] = ids
-        self.runs.update((r, ids) for r, ids in new.items() if len(r) <= LONGEST)
-        return out
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters by the model alone; the word vocabulary has lower case only."""
+        if not self.lead:
+            words = [w.lower() for w in words]
+        plain = [w if w.isascii() else w.encode().decode("latin-1") for w in words]
+        tokenize, code, letters = self.model.tokenize, self.code, self.letters
+        return [array(code, [x.id for x in tokenize(w.translate(letters))]).tobytes() for w in plain]
+
+    def _run_ids(self, different: pa.Array) -> list[bytes]:
+        """Ids of different runs; those that are not known yet are learned."""
+        names = different.to_pylist()
+        ids = list(map(self.runs.get, names))
+        new = [k for k, x in enumerate(ids) if x is None]
+        if new:
+            if len(self.runs) > REMEMBERED:
+                self.runs.clear()
+            word = pc.match_substring_regex(different.take(pa.array(new)), _WORD).to_pylist()
+            words = [names[k] for k, w in zip(new, word, strict=True) if w]
+            others = [names[k] for k, w in zip(new, word, strict=True) if not w]
+            found = dict(zip(words, self._words(words), strict=True)) | dict(zip(others, self._ids(others), strict=True))
+            for k in new:
+                ids[k] = found[names[k]]
+            self.runs.update((r, x) for r, x in found.items() if len(r) <= LONGEST)
+        return ids
+
+    def _piece_ids(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of different pieces, each with a space before it in its text, and how many each has."""
+        plain = pc.and_(pc.match_substring_regex(pieces, _PLAIN), pc.invert(pc.match_substring(pieces, "\n\n")))
+        led = pc.binary_join_element_wise(self.lead, pieces, "")
+        # Plain pieces have no zero byte: it stands where they are cut.
+        marked = pc.replace_substring_regex(led.filter(plain), f"( ?[{LETTERS}]+)", "\0\\1\0")
+        split = pc.split_pattern(marked, "\0")
+        parts = split.flatten()
+        full = pc.greater(pc.binary_length(parts), 0).to_numpy(zero_copy_only=False)
+        kept = np.append(0, np.cumsum(full))
+        edges = kept[split.offsets.to_numpy()]
+        coded = parts.filter(pa.array(full)).dictionary_encode()
+        odd = led.filter(pc.invert(plain))
+        ids = self._run_ids(coded.dictionary) + self._ids(odd.to_pylist())
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // self.width
+        flat = np.frombuffer(b"".join(ids), self.kind)
+        n_runs = len(coded.dictionary)
+        codes = np.append(coded.indices.to_numpy().astype(np.int64), np.arange(n_runs, n_runs + len(odd)))
+        # Pieces in the order plain, odd; then back to the order of ``pieces``.
+        is_plain = plain.to_numpy(zero_copy_only=False)
+        order = np.append(np.flatnonzero(is_plain), np.flatnonzero(~is_plain))
+        counts = np.append(np.diff(edges), np.ones(len(odd), np.int64))
+        run_at = np.empty(len(pieces), np.int64)
+        run_n = np.empty(len(pieces), np.int64)
+        run_at[order], run_n[order] = np.cumsum(counts) - counts, counts
+        codes = _gather(codes, run_at, run_n)
+        lengths = np.append(0, np.cumsum(sizes[codes]))
+        ends = np.cumsum(run_n)
+        return _gather(flat, (np.cumsum(sizes) - sizes)[codes], sizes[codes]), lengths[ends] - lengths[ends - run_n]
+
+    def _marked(self, text: str) -> bool:
+        low = text.lower()
+        return any(x in low for x in self.added)
 
     def encode(self, text: str) -> np.ndarray:
-        if not text:
-            return np.empty(0, np.uint32)
-        pieces = text.split(" ")
-        first, rest = pieces[0], pieces[1:]
-        ids = list(map(self.known.get, rest))
-        missing = {p for p, x in zip(rest, ids, strict=True) if x is None}
-        odd = any(not _EDGED.fullmatch(p) for p in missing)
-        if odd or (rest and not (first and _EDGED.fullmatch(first[-1]))):
-            pieces = _SPACES.split(text)
-            first, rest = pieces[0], pieces[1:]
-            ids = list(map(self.known.get, rest))
-            missing = {p for p, x in zip(rest, ids, strict=True) if x is None}
-        if missing:
-            learned = self._learn(list(missing))
-            ids = [learned[p] if x is None else x for p, x in zip(rest, ids, strict=True)]
-        # The first piece has no space before it.
-        whole = b"".join([*self._ids([first]), *ids])
-        return np.frombuffer(whole, self.kind).astype(np.uint32)
-
-
-def encoder(path: str, spaced: bool) -> PieceEncoder:
-    """The encoder of this worker; what it remembers serves all tasks that run here."""
-    if (path, spaced) not in _ENCODERS:
-        _ENCODERS[path, spaced] = PieceEncoder(path, spaced)
-    return _ENCODERS[path, spaced]
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text; long texts are taken in parts that end at a cut."""
+        parts: list[tuple[int, bool, str]] = []
+        whole: dict[int, np.ndarray] = {}
+        for k, text in enumerate(texts):
+            if self._marked(text):
+                whole[k] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+                continue
+            at = 0
+            while len(text) - at > ENCODED and (space := _SPACES.search(text, at + ENCODED)):
+                parts.append((k, at == 0, text[at : space.start()]))
+                at = space.end()
+            if len(text) > at:
+                parts.append((k, at == 0, text[at:] if at else text))
+        found: list[list[np.ndarray]] = [[] for _ in texts]
+        size, start = 0, 0
+        for end, (_, _, part) in enumerate(parts, 1):
+            size += len(part)
+            if size >= ENCODED or end == len(parts):
+                ids = self._encode_parts([p for _, _, p in parts[start:end]], [f for _, f, _ in parts[start:end]])
+                for (k, _, _), x in zip(parts[start:end], ids, strict=True):
+                    found[k].append(x)
+                size, start = 0, end
+        empty = np.empty(0, np.uint32)
+        return [
+            whole[k] if k in whole else x[0] if len(x) == 1 else np.concatenate(x) if x else empty for k, x in enumerate(found)
+        ]
+
+    def _encode_parts(self, parts: list[str], first: list[bool]) -> list[np.ndarray]:
+        """Ids of non-empty texts, or of what follows a cut where ``first`` is false."""
+        split = pc.split_pattern(pa.array(parts, pa.string()), " ")
+        begin = split.offsets.to_numpy()[:-1]
+        pieces = split.flatten().dictionary_encode()
+        codes, different = pieces.indices.to_numpy(), pieces.dictionary
+        opens = pc.match_substring_regex(different, f"^[{EDGE}]").to_numpy(zero_copy_only=False)
+        closes = pc.match_substring_regex(different, f"[{EDGE}]$").to_numpy(zero_copy_only=False)
+        # A space is a cut if plain characters are on both sides of it; else the pieces stay one.
+        is_cut = np.ones(len(codes), bool)
+        is_cut[1:] = closes[codes[:-1]] & opens[codes[1:]]
+        is_cut[begin] = True
+        at = np.flatnonzero(is_cut)
+        ends = np.append(at[1:], len(codes))
+        use = codes[at].astype(np.int64)
+        more = np.flatnonzero(ends - at > 1)
+        use[more] = np.arange(len(different), len(different) + len(more))
+        joined = [" ".join(different.take(pa.array(codes[at[k] : ends[k]])).to_pylist()) for k in more]
+        names = pa.concat_arrays([different, pa.array(joined, pa.string())])
+        # Those at the start of a text have no space before them: they get codes of their own.
+        lead = np.searchsorted(at, begin)
+        bare = lead[np.array(first, bool)]
+        alone = self._ids(names.take(pa.array(use[bare])).to_pylist())
+        inner = np.ones(len(use), bool)
+        inner[bare] = False
+        wanted = np.zeros(len(names), bool)
+        wanted[use[inner]] = True
+        place = np.cumsum(wanted) - 1
+        flat, sizes = self._piece_ids(names.filter(pa.array(wanted)))
+        codes = np.empty(len(use), np.int64)
+        codes[inner] = place[use[inner]]
+        codes[bare] = np.arange(len(sizes), len(sizes) + len(bare))
+        flat = np.append(flat, np.frombuffer(b"".join(alone), self.kind))
+        sizes = np.append(sizes, np.fromiter(map(len, alone), np.int64, len(alone)) // self.width)
+        out = _gather(flat, (np.cumsum(sizes) - sizes)[codes], sizes[codes]).astype(np.uint32)
+        after = np.append(0, np.cumsum(sizes[codes]))
+        edges = np.append(after[lead], len(out))
+        return [out[s:e] for s, e in zip(edges[:-1], edges[1:], strict=True)]
+
+
+def _gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Stretches of ``flat`` one after the other."""
+    after = np.cumsum(sizes)
+    total = int(after[-1]) if len(after) else 0
+    return flat[np.repeat(starts - after + sizes, sizes) + np.arange(total)]
+
+
+def larger(batches: Batches, size: int = ENCODED) -> Batches:
+    """The rows of ``batches`` in batches of about ``size`` bytes; a single one may be larger."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.nbytes for b in held) >= size:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held = []
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
+def ship_vocabulary(spark: SparkSession, path: str) -> str:
+    """Send a vocabulary file to the executors; the name under which :func:`encoder` finds it there."""
+    spark.sparkContext.addFile(path)
+    return os.path.basename(path)
+
+
+def encoder(name: str, spaced: bool) -> PieceEncoder:
+    """The encoder of this worker for a shipped file; what it remembers serves all tasks that run here."""
+    if (name, spaced) not in _ENCODERS:
+        _ENCODERS[name, spaced] = PieceEncoder(SparkFiles.get(name), spaced)
+    return _ENCODERS[name, spaced]

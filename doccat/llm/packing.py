@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from doccat.llm.common import Batches, arrow_map, encoder
+from doccat.llm.common import Batches, arrow_map, encoder, larger, ship_vocabulary
 from doccat.operators.scale import cut
 
 SEQUENCE = 2048
@@ -95,19 +95,23 @@ def token_pieces(
 ) -> DataFrame:
     """``doc_id, start, length, ids_crc32, doc_tokens``: documents cut into pieces of ``size``.
 
-    Only the last piece of a document is shorter. A null text is empty: one piece of ``end_id``.
+    Only the last piece of a document is shorter. A null text is empty: one piece of ``end_id``. Rows are cut
+    one by one, so null and repeated ids do not matter; other columns are not read. An empty table
+    stays empty.
     """
     shape = pa.schema(
         [(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")]
     )
 
+    name = ship_vocabulary(docs.sparkSession, vocabulary)
+
     def cut_up(batches: Batches) -> Batches:
-        encode = encoder(vocabulary, spaced).encode
-        for batch in batches:
+        encode = encoder(name, spaced).encode_all
+        for batch in larger(batches):
             rows = []
             ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            for doc_id, text in zip(ids, texts, strict=True):
-                found = np.append(encode(text or ""), np.uint32(end_id)).astype("<u4")
+            for doc_id, found in zip(ids, encode([x or "" for x in texts]), strict=True):
+                found = np.append(found, np.uint32(end_id)).astype("<u4")
                 for start in range(0, len(found), size):
                     piece = found[start : start + size]
                     rows.append((doc_id, start, len(piece), zlib.crc32(piece.tobytes()), len(found)))

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from doccat.llm.common import Batches, arrow_map, encoder, file_system, make_folder
+from doccat.llm.common import Batches, arrow_map, encoder, file_system, larger, make_folder, ship_vocabulary
 from doccat.operators.scale import cut
 
 MAGIC = b"PFORTOK1"
@@ -189,20 +189,21 @@ def write_tokens(
     gives an empty manifest.
     """
     make_folder(folder)
+    vocabulary = ship_vocabulary(docs.sparkSession, vocabulary)
 
     def write(batches: Batches) -> Batches:
-        encode = encoder(vocabulary, spaced).encode
+        encode = encoder(vocabulary, spaced).encode_all
         shard = TaskContext.get().partitionId()
         path = f"{folder}/shard-{shard:06d}-{uuid.uuid4().hex}.pfor"
         writer = stream = None
-        for batch in batches:
+        for batch in larger(batches):
             if writer is None and batch.num_rows:
                 system, name = file_system(path)
                 stream = system.open_output_stream(name)
                 writer = ShardWriter(stream, percentile)
             ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            for doc_id, text in zip(ids, texts, strict=True):
-                writer.add(doc_id, np.append(encode(text or ""), np.uint32(end_id)))
+            for doc_id, found in zip(ids, encode([x or "" for x in texts]), strict=True):
+                writer.add(doc_id, np.append(found, np.uint32(end_id)))
         if writer is not None:
             size = writer.close()
             stream.close()

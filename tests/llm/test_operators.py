@@ -11,7 +11,7 @@ import pytest
 from helpers import COLUMNS, LONG, PLAIN, ROWS, awkward
 from pyspark.sql import functions as F
 
-from doccat.llm import decontam, langid, packing, pii, quality, simhash, suffix, tokens, toolcalls, warc
+from doccat.llm import common, decontam, langid, packing, pii, quality, simhash, suffix, tokens, toolcalls, warc
 from doccat.llm.common import PieceEncoder, new_folder
 from doccat.llm.graph import components
 from doccat.llm.queries import vocabulary
@@ -117,13 +117,25 @@ ODD_TEXTS = [
 
 
 @pytest.mark.parametrize("name, spaced", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
-def test_pieces_have_the_ids_of_the_text(name, spaced):
+def test_pieces_have_the_ids_of_the_text(monkeypatch, name, spaced):
+    from tokenizers import Tokenizer
+
+    theirs = Tokenizer.from_file(vocabulary(name))
     mine = PieceEncoder(vocabulary(name), spaced)
     rng = np.random.default_rng(3)
-    parts = "a Wort don't 12 , . \n \n\n \t é « 漢 ' 's x y … - ½ ª".split(" ") + ["", " "]
+    marks = [x.content for x in theirs.get_added_tokens_decoder().values()]
+    parts = "a Wort don't 12 , . \n \n\n \t é « 漢 ' 's x y … - ½ ª word\n \nword".split(" ") + ["", " "]
     texts = ODD_TEXTS + ["".join(rng.choice([*parts, " "], 30)) for _ in range(400)] + [" ".join(rng.choice(parts, 30)) for _ in range(400)]
-    for text in texts * 2:
-        assert mine.encode(text).tolist() == mine.tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+    for mark in [*marks, "<|startoftext|>", "<|endoftext|>"]:
+        texts += [mark, f"a {mark} b", f"a{mark}b {mark}", f"x {mark.upper()} y", mark[:-1], f"{mark}\n{mark} " * 3]
+        texts += ["".join(rng.choice([*parts, " ", mark], 20)) for _ in range(50)]
+    want = [theirs.encode(t, add_special_tokens=False).ids for t in texts]
+    for text, ids in [*zip(texts, want), *zip(texts, want)]:
+        assert mine.encode(text).tolist() == ids, repr(text)
+    assert [x.tolist() for x in PieceEncoder(vocabulary(name), spaced).encode_all(texts)] == want
+    # Long texts in parts of a few characters, and batches of them.
+    monkeypatch.setattr(common, "ENCODED", 7)
+    assert [x.tolist() for x in PieceEncoder(vocabulary(name), spaced).encode_all(texts)] == want
 
 
 def test_token_shards(spark, docs, empty):
