@@ -97,6 +97,12 @@ def quality_sql() -> str:
             f"lambda i: {term.format(x, y)} + {term.format(y, x)})) / 2, 0.0))"
         )
 
+    hits = [
+        f"{{'n': -len(list_filter(common, lambda x: list_contains([{', '.join(map(quoted, words))}], x))), 'lang': '{lang}'}}"
+        for lang, words in sorted(quality.COMMON_WORDS.items())
+    ]
+    guess = f"list_min([{', '.join(hits)}]).lang"
+
     return f"""WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t FROM documents),
     s AS (SELECT doc_id, lang, t,
       list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w,
@@ -118,7 +124,8 @@ def quality_sql() -> str:
       {share.format('classes')} AS c, {share.format('bins')} AS p FROM b),
     r AS (SELECT lang, {mean_c} AS rc, {mean.format('p')} AS rp FROM h
       WHERE long_enough AND NOT base_failed AND lang IS NOT NULL GROUP BY lang),
-    own AS (SELECT h.*, {distance('c', 'rc')} + {distance('p', 'rp')} AS far FROM h LEFT JOIN r USING (lang))
+    g AS (SELECT h.*, CASE WHEN lang IN (SELECT lang FROM r) THEN lang WHEN len(common) > 0 THEN {guess} END AS ref FROM h),
+    own AS (SELECT g.*, {distance('c', 'rc')} + {distance('p', 'rp')} AS far FROM g LEFT JOIN r ON r.lang = g.ref)
     SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars,
       CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
       CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,

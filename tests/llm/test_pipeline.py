@@ -2,9 +2,11 @@
 
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from compare import compare, connect
+from pyspark.sql import functions as F
 from test_operators import brute_components, brute_fingerprint, brute_repeats, brute_spans
 
 import corpus_pipeline
@@ -20,6 +22,20 @@ def test_query_matches_sql(spark, name):
     assert compare(spark, connect(SF_DIR), SF_DIR, queries.QUERIES[name], queries.ORACLES[name]) is None
 
 
+def test_quality_of_many_and_missing_languages(spark, tmp_path):
+    """Forty languages, null and unknown ones, and spoiled texts: the verdicts are those of the SQL."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    k = F.col("doc_id") % 100
+    lang = F.when(k % 5 == 0, None).when(k % 7 == 0, F.concat(F.lit("rare"), "doc_id")).otherwise(F.concat("lang", (k % 10).cast("string")))
+    text = F.when(k % 20 == 3, F.translate("text", "aeiou .", "#$7%|X-")).when(k == 50, None).otherwise(F.col("text"))
+    made = docs.select("doc_id", text.alias("text"), lang.alias("lang"), "source", "n_chars")
+    made.unionByName(made.filter(k == 5)).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert made.select("lang").distinct().count() > 40
+    assert compare(spark, con, str(tmp_path), queries.QUERIES["op1_divergence"], queries.ORACLES["op1_divergence"]) is None
+
+
 @pytest.fixture(scope="module")
 def documents(spark):
     return spark.read.parquet(f"{SF_DIR}/documents.parquet")
