@@ -65,11 +65,11 @@ _SPACES = re.compile(f"(?<=[{EDGE}]) (?=[{EDGE}])")
 # lower case is as long, which is surely one piece.
 _PLAIN = f"^[!-&(-~{LETTERS}](?:[\n!-&(-~{LETTERS}]*[!-&(-~{LETTERS}])?$"
 _WORD = "^ ?[A-Za-zÀ-ÖØ-öø-ÿ]+$"
-# Most runs that a worker remembers, and the longest one that is worth it.
-REMEMBERED = 700_000
+# Runs after which a worker begins to remember anew, what it had last still at hand, and the longest one that is worth it.
+REMEMBERED = 350_000
 LONGEST = 48
 # Characters of text that are cut at once.
-ENCODED = 16 << 20
+ENCODED = 6 << 20
 _ENCODERS: dict[tuple[str, bool], PieceEncoder] = {}
 
 
@@ -107,6 +107,7 @@ class PieceEncoder:
         wide = self.tokenizer.get_vocab_size() > 1 << 16
         self.code, self.kind, self.width = ("I", "<u4", 4) if wide else ("H", "<u2", 2)
         self.runs: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def _ids(self, pieces: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
@@ -123,18 +124,20 @@ class PieceEncoder:
     def _run_ids(self, different: pa.Array) -> list[bytes]:
         """Ids of different runs; those that are not known yet are learned."""
         names = different.to_pylist()
+        if len(self.runs) > REMEMBERED:
+            self.runs, self.before = {}, self.runs
         ids = list(map(self.runs.get, names))
-        new = [k for k, x in enumerate(ids) if x is None]
+        lost = [k for k, x in enumerate(ids) if x is None]
+        found = {names[k]: self.before[names[k]] for k in lost if names[k] in self.before}
+        new = [k for k in lost if names[k] not in found]
         if new:
-            if len(self.runs) > REMEMBERED:
-                self.runs.clear()
             word = pc.match_substring_regex(different.take(pa.array(new)), _WORD).to_pylist()
             words = [names[k] for k, w in zip(new, word, strict=True) if w]
             others = [names[k] for k, w in zip(new, word, strict=True) if not w]
-            found = dict(zip(words, self._words(words), strict=True)) | dict(zip(others, self._ids(others), strict=True))
-            for k in new:
-                ids[k] = found[names[k]]
-            self.runs.update((r, x) for r, x in found.items() if len(r) <= LONGEST)
+            found |= dict(zip(words, self._words(words), strict=True)) | dict(zip(others, self._ids(others), strict=True))
+        for k in lost:
+            ids[k] = found[names[k]]
+        self.runs.update((r, x) for r, x in found.items() if len(r) <= LONGEST)
         return ids
 
     def _piece_ids(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -246,7 +249,10 @@ def _gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarr
     """Stretches of ``flat`` one after the other."""
     after = np.cumsum(sizes)
     total = int(after[-1]) if len(after) else 0
-    return flat[np.repeat(starts - after + sizes, sizes) + np.arange(total)]
+    kind = np.int32 if max(total, len(flat)) < 1 << 31 else np.int64
+    at = np.repeat((starts - after + sizes).astype(kind), sizes)
+    at += np.arange(total, dtype=kind)
+    return flat[at]
 
 
 def larger(batches: Batches, size: int = ENCODED) -> Batches:
