@@ -66,10 +66,10 @@ _SPACES = re.compile(f"(?<=[{EDGE}]) (?=[{EDGE}])")
 _PLAIN = f"^[!-&(-~{LETTERS}](?:[\n!-&(-~{LETTERS}]*[!-&(-~{LETTERS}])?$"
 _WORD = "^ ?[A-Za-zÀ-ÖØ-öø-ÿ]+$"
 # Runs after which a worker begins to remember anew, what it had last still at hand, and the longest one that is worth it.
-REMEMBERED = 350_000
+REMEMBERED = 300_000
 LONGEST = 48
 # Characters of text that are cut at once.
-ENCODED = 6 << 20
+ENCODED = 8 << 20
 _ENCODERS: dict[tuple[str, bool], PieceEncoder] = {}
 
 
@@ -217,9 +217,9 @@ class PieceEncoder:
         is_cut = np.ones(len(codes), bool)
         is_cut[1:] = closes[codes[:-1]] & opens[codes[1:]]
         is_cut[begin] = True
-        at = np.flatnonzero(is_cut)
-        ends = np.append(at[1:], len(codes))
-        use = codes[at].astype(np.int64)
+        at = np.flatnonzero(is_cut).astype(np.int32)
+        ends = np.append(at[1:], np.int32(len(codes)))
+        use = codes[at]
         more = np.flatnonzero(ends - at > 1)
         use[more] = np.arange(len(different), len(different) + len(more))
         joined = [" ".join(different.take(pa.array(codes[at[k] : ends[k]])).to_pylist()) for k in more]
@@ -232,16 +232,18 @@ class PieceEncoder:
         inner[bare] = False
         wanted = np.zeros(len(names), bool)
         wanted[use[inner]] = True
-        place = np.cumsum(wanted) - 1
+        place = np.cumsum(wanted, dtype=np.int32) - 1
         flat, sizes = self._piece_ids(names.filter(pa.array(wanted)))
-        codes = np.empty(len(use), np.int64)
+        codes = np.empty(len(use), np.int32)
         codes[inner] = place[use[inner]]
         codes[bare] = np.arange(len(sizes), len(sizes) + len(bare))
         flat = np.append(flat, np.frombuffer(b"".join(alone), self.kind))
         sizes = np.append(sizes, np.fromiter(map(len, alone), np.int64, len(alone)) // self.width)
-        out = _gather(flat, (np.cumsum(sizes) - sizes)[codes], sizes[codes]).astype(np.uint32)
-        after = np.append(0, np.cumsum(sizes[codes]))
-        edges = np.append(after[lead], len(out))
+        del split, pieces, different, names
+        pa.default_memory_pool().release_unused()
+        lengths = sizes[codes]
+        out = _gather(flat.astype(np.uint32), (np.cumsum(sizes) - sizes)[codes], lengths)
+        edges = np.append(np.append(0, np.cumsum(lengths))[lead], len(out))
         return [out[s:e] for s, e in zip(edges[:-1], edges[1:], strict=True)]
 
 
@@ -250,7 +252,8 @@ def _gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarr
     after = np.cumsum(sizes)
     total = int(after[-1]) if len(after) else 0
     kind = np.int32 if max(total, len(flat)) < 1 << 31 else np.int64
-    at = np.repeat((starts - after + sizes).astype(kind), sizes)
+    after -= sizes
+    at = np.repeat((starts - after).astype(kind), sizes)
     at += np.arange(total, dtype=kind)
     return flat[at]
 
