@@ -138,7 +138,7 @@ def xml_list(xml: Column, path: str) -> Column:
         read = (read_record(x, [], [path], []) for x in records.to_pylist())
         return pa.array([None if why else found[0] for why, _, found in read], pa.list_(pa.string()))
 
-    return items(xml)
+    return items(F.try_validate_utf8(xml))
 
 
 def xml_pairs(
@@ -163,5 +163,5 @@ def xml_pairs(
         return pa.array(rows, kind)
 
     return F.transform(
-        items(xml), lambda x: F.struct(F.upper(x["label"]).alias("label"), x["description"].alias("description"))
+        items(F.try_validate_utf8(xml)), lambda x: F.struct(F.upper(x["label"]).alias("label"), x["description"].alias("description"))
     )

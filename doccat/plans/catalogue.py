@@ -414,6 +414,43 @@ def rejected_records(spark, sf_dir):
     return rc.parse_records(records).select("path", F.col("reason").isNotNull().alias("rejected"))
 
 
+def encoded_records(spark, sf_dir) -> DataFrame:
+    """``(path, name, content)`` from documents, as bytes in the encoding of the language; some bytes are spoiled."""
+    rows = xml_records(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
+    lang, wide = F.col("lang"), F.col("xml").rlike(r"[^\x00-\u00FF]")
+
+    def declared(name):
+        return F.concat(F.lit(f"<?xml version='1.0' encoding='{name}'?>"), F.col("xml"))
+
+    utf8 = F.concat(F.lit(bytearray(b"\xef\xbb\xbf")), F.encode(declared("UTF-8"), "UTF-8"))
+    content = (
+        F.when((lang == "fr") & ~wide, F.encode(declared("ISO-8859-1"), "ISO-8859-1"))
+        .when(lang == "de", F.encode(declared("UTF-16"), "UTF-16"))
+        .when(lang == "es", utf8)
+        .otherwise(F.encode(F.col("xml"), "UTF-8"))
+    )
+    # Every seventh record has a byte that UTF-8 never has, or one byte too few for UTF-16.
+    odd = F.when(lang == "de", F.substring(content, F.lit(1), F.octet_length(content) - 1)).otherwise(
+        F.concat(content, F.lit(bytearray(b"\xff")))
+    )
+    content = F.when(F.col("doc_id") % 7 == 0, odd).otherwise(content)
+    return rows.select("path", F.regexp_extract("path", "[^/]*$", 0).alias("name"), content.alias("content"), "doc_id")
+
+
+@query(
+    "decode_records",
+    r"""SELECT doc_id, CASE WHEN doc_id % 7 <> 0 THEN NULL
+         WHEN lang = 'de' THEN 'not valid utf-16be'
+         WHEN lang = 'fr' AND NOT regexp_matches(text, '[^\x{00}-\x{FF}]') THEN NULL ELSE 'not valid utf-8' END AS problem,
+       CASE WHEN doc_id % 7 <> 0 THEN text END AS abstract FROM documents""",
+)
+def decode_records(spark, sf_dir):
+    """Problems of the bytes, and the text of the records that are whole."""
+    records = rc.decode_records(encoded_records(spark, sf_dir))
+    whole = rc.extract_fields(records).select("path", "abstract")
+    return records.select("path", "doc_id", "problem").join(whole, "path", "left").select("doc_id", "problem", "abstract")
+
+
 @query("job_extract_counts", "SELECT count(*) AS n_records, count(*) AS n_entities, 0::BIGINT AS n_rejects FROM benchmark")
 def job_extract_counts(spark, sf_dir):
     out = new_folder(spark)

@@ -9,27 +9,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from doccat.functions import xml as xf
+from doccat.functions.encoding import decode_xml
 from doccat.operators.scale import BROADCAST_BYTES, cut, ship_code
 from doccat.operators.vectors import dense_index
 
 
-def _files(spark: SparkSession, folder: str, pattern: str, value: str) -> DataFrame:
-    files = spark.read.text(
-        folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern
-    )
+def read_record_bytes(spark: SparkSession, folder: str) -> DataFrame:
+    """``(path, name, content)``: one row per ``.xml`` file below ``folder``, its bytes as they are.
+
+    The path is the key: files of one name in different folders stay apart.
+    """
+    files = spark.read.format("binaryFile").load(folder, recursiveFileLookup=True, pathGlobFilter="*.xml")
     return files.select(
-        F.col("_metadata.file_path").alias("path"),
-        F.col("_metadata.file_name").alias("name"),
-        F.col("value").alias(value),
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("name"), "content"
     )
 
 
+def decode_records(records: DataFrame) -> DataFrame:
+    """``content`` replaced by ``xml`` and ``problem``: the text, or why the bytes are none; a narrow step."""
+    decoded = records.withColumn("_decoded", decode_xml(F.col("content")))
+    kept = [c for c in records.columns if c != "content"]
+    return decoded.select(*kept, F.col("_decoded.text").alias("xml"), F.col("_decoded.problem").alias("problem"))
+
+
 def read_xml_records(spark: SparkSession, folder: str) -> DataFrame:
-    """``(path, name, xml)``: one row per ``.xml`` file below ``folder``.
+    """``(path, name, xml, problem)``: one row per ``.xml`` file below ``folder``.
 
-    The path is the key: files of one name in different folders stay apart.
+    Bytes become text by the record's byte-order mark or declared encoding. Where they cannot, ``xml`` is null and
+    ``problem`` says why; no file ends the job, and none is left out but those of no bytes, which Spark does not list.
     """
-    return _files(spark, folder, "*.xml", "xml")
+    return decode_records(read_record_bytes(spark, folder))
 
 
 def count_records(records: DataFrame) -> DataFrame:
@@ -37,16 +46,16 @@ def count_records(records: DataFrame) -> DataFrame:
 
 
 def read_text_corpus(spark: SparkSession, folder: str) -> DataFrame:
-    """``(doc_id, text)``: one row per file, keyed by path."""
-    files = _files(spark, folder, "*", "text")
-    return files.select(F.col("path").alias("doc_id"), "text")
+    """``(doc_id, text)``: one row per file, keyed by path. Bytes that are no UTF-8 become U+FFFD."""
+    files = spark.read.text(folder, wholetext=True, recursiveFileLookup=True)
+    return files.select(F.col("_metadata.file_path").alias("doc_id"), F.make_valid_utf8("value").alias("text"))
 
 
 def parse_records(records: DataFrame) -> DataFrame:
-    """``path, reason`` and all catalogue fields of each record, parsed once. A narrow step.
+    """``path, reason`` and all catalogue fields of each of ``records (path, xml)``, parsed once. A narrow step.
 
-    ``reason`` says why a record is not well-formed XML and is null if it is; only then the
-    fields are filled. No record is left out.
+    ``reason`` says why a record is no text (its ``problem``, where there is this column) or not
+    well-formed XML, and is null if it is; only then the fields are filled. No record is left out.
     """
     ship_code(records.sparkSession)
     names = list(xf.FIELD_PATHS)
@@ -57,6 +66,8 @@ def parse_records(records: DataFrame) -> DataFrame:
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             read = [xf.read_record(x, texts, lists, pairs) for x in batch.column("xml").to_pylist()]
+            known = batch.column("problem").to_pylist()
+            read = [(p, [], []) if p else r for p, r in zip(known, read, strict=True)]
             good = [why is None for why, _, _ in read]
             columns = [batch.column("path"), pa.array([why for why, _, _ in read], pa.string())]
             for k in range(len(names)):
@@ -78,7 +89,11 @@ def parse_records(records: DataFrame) -> DataFrame:
         "attributes",
         lambda x: F.struct(F.upper(x["label"]).alias("label"), x["description"].alias("description")),
     )
-    return records.select("path", "xml").mapInArrow(parse, schema).withColumn("attributes", label)
+    problem = F.col("problem") if "problem" in records.columns else F.lit(None).cast("string")
+    valid = F.try_validate_utf8("xml")
+    broken = F.when(F.col("xml").isNotNull() & valid.isNull(), F.lit("not valid utf-8"))
+    checked = records.select("path", valid.alias("xml"), F.coalesce(problem, broken).alias("problem"))
+    return checked.mapInArrow(parse, schema).withColumn("attributes", label)
 
 
 def rejected_records(records: DataFrame) -> DataFrame:

@@ -115,3 +115,68 @@ def test_prefixes_do_not_hide_attributes(spark):
     rows = {r["path"]: r for r in rc.parse_records(df).collect()}
     assert rows["p"]["class"] == "T" and [tuple(a) for a in rows["p"]["attributes"]] == [("N", "")]
     assert rows["q"]["reason"] and rows["r"]["reason"] == "no text" and rows["r"]["themes"] is None
+
+
+BODY = "<m><title>T é</title><dataIdInfo><idAbs>à la carte</idAbs></dataIdInfo></m>"
+ENCODED = {
+    "utf8": BODY.encode(),
+    "mark": b"\xef\xbb\xbf" + f"<?xml version='1.0' encoding='utf-8'?>{BODY}".encode(),
+    "latin": f'<?xml version="1.0" encoding="ISO-8859-1"?>{BODY}'.encode("latin-1"),
+    "latin9": f"<?xml version='1.0'  encoding = 'ISO-8859-15' standalone='yes' ?>{BODY}".encode("iso-8859-15"),
+    "windows": f"<?xml version='1.0' encoding='windows-1252'?>{BODY}".encode("cp1252"),
+    "big": "﻿".encode("utf-16-be") + f"<?xml version='1.0' encoding='UTF-16'?>{BODY}".encode("utf-16-be"),
+    "little": "﻿".encode("utf-16-le") + f"<?xml version='1.0' encoding='UTF-16'?>{BODY}".encode("utf-16-le"),
+    "unmarked": f"<?xml version='1.0' encoding='UTF-16'?>{BODY}".encode("utf-16-le"),
+    "four": "﻿".encode("utf-32-be") + BODY.encode("utf-32-be"),
+}
+BROKEN = {
+    "cut": (b"<m><title>\xc3</title></m>", "not valid utf-8"),
+    "undeclared": (BODY.encode("latin-1"), "not valid utf-8"),
+    "ascii": (f"<?xml version='1.0' encoding='US-ASCII'?>{BODY}".encode(), "not valid us-ascii"),
+    "odd": ("﻿".encode("utf-16-le") + BODY.encode("utf-16-le") + b"x", "not valid utf-16le"),
+    "half": ("﻿".encode("utf-16-le") + b"\x00\xd8<\x00", "not valid utf-16le"),
+    "strange": (f"<?xml version='1.0' encoding='klingon'?>{BODY}".encode(), "unknown encoding klingon"),
+    "binary": (f"<?xml version='1.0' encoding='hex'?>{BODY}".encode(), "unknown encoding hex"),
+    "lie": (f"<?xml version='1.0' encoding='UTF-16'?>{BODY}".encode(), "declares utf-16, but has one byte a character"),
+    "blank": (b" ", "no element found"),
+    "malformed": (b"<m><title>", "no element found"),
+}
+
+
+def test_encodings(spark, tmp_path):
+    for name, data in ENCODED.items():
+        (tmp_path / f"{name}.xml").write_bytes(data)
+    for name, (data, _) in BROKEN.items():
+        (tmp_path / f"{name}.xml").write_bytes(data)
+    records = rc.read_xml_records(spark, str(tmp_path))
+    assert records.columns == ["path", "name", "xml", "problem"]
+    rows = {r["path"].rsplit("/", 1)[1][:-4]: r for r in rc.parse_records(records).collect()}
+    assert rows.keys() == ENCODED.keys() | BROKEN.keys()
+    for name in ENCODED:
+        assert rows[name]["reason"] is None, (name, rows[name]["reason"])
+        assert (rows[name]["class"], rows[name]["abstract"]) == ("T é", "à la carte"), name
+    for name, (_, why) in BROKEN.items():
+        assert rows[name]["reason"].startswith(why) and rows[name]["class"] is None, (name, rows[name]["reason"])
+    assert {r["path"].rsplit("/", 1)[1][:-4] for r in rc.rejected_records(records).collect()} == BROKEN.keys()
+    # The texts parse the same way when Spark reads them.
+    good = records.filter("problem IS NULL AND name = 'latin.xml'")
+    assert good.select(xf.xml_text(F.col("xml"), "//title")).first()[0] == "T é"
+
+
+def test_extract_job_survives_wrong_bytes(spark, tmp_path):
+    folder, out = tmp_path / "in", str(tmp_path / "out")
+    folder.mkdir()
+    (folder / "good.xml").write_bytes(ENCODED["latin"])
+    (folder / "bad.xml").write_bytes(b"<m><title>\xe9</title></m>")
+    job_extract(spark, str(folder), out)
+    assert tuple(spark.read.parquet(f"{out}/counts").first()) == (2, 1, 1)
+    assert spark.read.parquet(f"{out}/rejects").first()["reason"] == "not valid utf-8"
+    assert spark.read.parquet(f"{out}/entities").first()["class"] == "T é"
+
+
+def test_texts_and_made_records_with_wrong_bytes(spark, tmp_path):
+    (tmp_path / "d.txt").write_bytes(b"a\xff\xc3\xa9")
+    assert rc.read_text_corpus(spark, str(tmp_path)).first()["text"] == "a�é"
+    df = spark.createDataFrame([("p", bytearray(b"<m>\xff</m>"))], "path string, b binary").selectExpr("path", "cast(b as string) AS xml")
+    assert rc.parse_records(df).first()["reason"] == "not valid utf-8"
+    assert df.select(xf.xml_list(F.col("xml"), "//m"), xf.xml_pairs(F.col("xml"))).first()[0] is None
