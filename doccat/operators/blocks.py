@@ -24,6 +24,9 @@ BLOCK_ROWS = 2048
 SMALL_BLOCK = 256
 # Most vector entries of a block on average: long documents make smaller blocks.
 BLOCK_ENTRIES = 1 << 20
+# A term is multiplied as a dense column if it is in this share of the document pairs, and the most such terms.
+DENSE_SHARE = 0.002
+DENSE_TERMS = 1024
 # Partial products expanded at a time inside a task.
 EXPAND = 1 << 22
 
@@ -103,14 +106,33 @@ def _side(table: pa.Table):
 
 
 def dot_block(left: pa.Table, right: pa.Table) -> np.ndarray:
-    """All dot products of two sets of sparse vectors, as a dense ``left x right`` array."""
+    """All dot products of two sets of sparse vectors, as a dense ``left x right`` array.
+
+    Terms that many documents of both sides have are multiplied as dense columns, at most
+    ``DENSE_TERMS`` of them; for all others each posting meets the other side's postings of its term.
+    """
     n_left, l_row, l_term, l_val = _side(left)
     n_right, r_row, r_term, r_val = _side(right)
+    terms, code = np.unique(np.concatenate([l_term, r_term]), return_inverse=True)
+    l_term, r_term = code[: len(l_term)], code[len(l_term) :]
+    l_df, r_df = (np.bincount(x, minlength=len(terms)) for x in (l_term, r_term))
+    met = l_df.astype(np.float64) * r_df
+    common = np.flatnonzero(met >= DENSE_SHARE * n_left * n_right)
+    if len(common) > DENSE_TERMS:
+        common = common[np.argpartition(met[common], -DENSE_TERMS)[-DENSE_TERMS:]]
+    column = np.full(len(terms), -1)
+    column[common] = np.arange(len(common))
+    l_dense, r_dense = column[l_term] >= 0, column[r_term] >= 0
+    x, y = np.zeros((n_left, len(common))), np.zeros((n_right, len(common)))
+    x[l_row[l_dense], column[l_term[l_dense]]] = l_val[l_dense]
+    y[r_row[r_dense], column[r_term[r_dense]]] = r_val[r_dense]
+    out = (x @ y.T).ravel()
+    l_row, l_term, l_val = l_row[~l_dense], l_term[~l_dense], l_val[~l_dense]
+    r_row, r_term, r_val = r_row[~r_dense], r_term[~r_dense], r_val[~r_dense]
     order = np.argsort(r_term, kind="stable")
     r_row, r_term, r_val = r_row[order], r_term[order], r_val[order]
-    first = np.searchsorted(r_term, l_term, "left")
-    hits = np.searchsorted(r_term, l_term, "right") - first
-    out = np.zeros(n_left * n_right)
+    df = np.bincount(r_term, minlength=len(terms))
+    first, hits = (np.cumsum(df) - df)[l_term], df[l_term]
     ends = np.cumsum(hits)
     start = 0
     while start < len(hits):
@@ -129,6 +151,23 @@ def dot_block(left: pa.Table, right: pa.Table) -> np.ndarray:
     return out.reshape(n_left, n_right)
 
 
+def pair_dots(a_terms: pa.Array, a_values: pa.Array, b_terms: pa.Array, b_values: pa.Array) -> np.ndarray:
+    """The dot product of each row's two sparse vectors, whose terms are sorted."""
+
+    def flat(terms, values):
+        rows = np.repeat(np.arange(len(terms)), terms.value_lengths().to_numpy(zero_copy_only=False))
+        return rows, terms.flatten().to_numpy(zero_copy_only=False), values.flatten().to_numpy(zero_copy_only=False)
+
+    a_row, a_term, a_val = flat(a_terms, a_values)
+    b_row, b_term, b_val = flat(b_terms, b_values)
+    terms, code = np.unique(np.concatenate([a_term, b_term]), return_inverse=True)
+    a_key, b_key = a_row * len(terms) + code[: len(a_term)], b_row * len(terms) + code[len(a_term) :]
+    at = np.searchsorted(b_key, a_key)
+    at[at == len(b_key)] = 0
+    same = b_key[at] == a_key if len(b_key) else np.zeros(len(a_key), bool)
+    return np.bincount(a_row[same], weights=a_val[same] * b_val[at[same]], minlength=len(a_terms))
+
+
 def split_sides(table: pa.Table, i: int, j: int) -> tuple[pa.Table, pa.Table]:
     block = table.column("block").to_numpy()
     left = table.filter(pa.array(block == i))

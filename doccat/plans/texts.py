@@ -379,6 +379,18 @@ def cosine_pairs(spark, sf_dir):
     return sm.cosine_pairs(vectors, 0.0).withColumn("cosine", F.round("cosine", sm.PLACES))
 
 
+@query(
+    "cosine_pairs_above",
+    vector_sql(max_df_percent=25) + COSINE_SQL + SETS_SQL + """
+SELECT a, b, cosine, x.n AS n_a, y.n AS n_b FROM cos
+JOIN sets x ON x.doc_id = a AND x.rep = a JOIN sets y ON y.doc_id = b AND y.rep = b WHERE cosine >= 0.8""",
+)
+def cosine_pairs_above(spark, sf_dir):
+    """Pairs of a cosine of at least 0.8, by the rare terms of each vector."""
+    vectors = cut(vc.vectorize(documents(spark, sf_dir), stopwords(), max_df_percent=25).vectors)
+    return sm.cosine_pairs(vectors, 0.8, "prefix").withColumn("cosine", F.round("cosine", sm.PLACES))
+
+
 @query(
     "cosine_sets",
     vector_sql() + SETS_SQL + "SELECT doc_id, rep, n FROM sets WHERE n > 1",

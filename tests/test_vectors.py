@@ -163,3 +163,67 @@ def test_pairs_of_documents_with_terms_of_their_own(spark):
     more = rows + [(d, t, 1.0) for d in (4, 5) for t in ("a", "b")]
     found = expanded(spark.createDataFrame(more, "doc_id long, term string, w double"))
     assert len(found) == 20 and found[4, 5] == pytest.approx(1.0) and found[1, 2] == pytest.approx(0.5)
+
+
+@pytest.fixture(scope="module")
+def near_copies(spark):
+    """Texts with a few words changed, next to copies and to texts that share one frequent word."""
+    rng = random.Random(11)
+    words = [a + b + "ot" for a in "bcdfglmp" for b in "aeiou"]
+    texts = ["copie conforme partout"] * 20
+    for _ in range(12):
+        text = rng.choices(words, k=rng.randint(3, 25))
+        for _ in range(rng.randint(1, 6)):
+            texts.append("partout " + " ".join(rng.choice(words) if rng.random() < 0.1 else w for w in text))
+    vectors = vc.vectorize(docs_of(spark, [(i * 3, t) for i, t in enumerate(texts)], "long"), []).vectors
+    return scale.cut(vectors)
+
+
+@pytest.mark.parametrize("bound", [0.3, 0.5, 0.8])
+@pytest.mark.parametrize("stretch", [7, 2048])
+def test_pairs_above_a_bound_equal_the_full_join(spark, near_copies, monkeypatch, bound, stretch):
+    """By rare terms and by blocks; also with long lists cut short and nothing broadcast."""
+    monkeypatch.setattr(sm, "STRETCH", stretch)
+    if stretch == 7:
+        monkeypatch.setattr(scale, "BROADCAST_BYTES", 0)
+
+    def pairs(method):
+        found = sm.cosine_pairs(near_copies, bound, method).collect()
+        return {(r["a"], r["b"], r["n_a"], r["n_b"]): pytest.approx(r["cosine"]) for r in found}
+
+    whole, rare = pairs("blocks"), pairs("prefix")
+    assert rare == whole and whole and pairs("auto") == whole
+
+
+def test_rare_terms_leave_fewer_pairs(spark):
+    """A hundred documents share a frequent term of little weight: none of their pairs is a candidate."""
+    rows = [(d, "common", 0.2) for d in range(100)] + [(d, f"own{d % 50}", 1.0) for d in range(100)]
+    rows += [(d, f"more{d % 50}", float(1 + d // 50)) for d in range(100)]
+    vectors = spark.createDataFrame(rows, "doc_id long, term string, w double")
+    postings = scale.cut(sm.indexed_postings(scale.cut(sm._equal_sets(vectors)), 0.5))
+    df = postings.groupBy("term_id").agg(F.count("*").alias("df"))
+    found = sm.candidate_pairs(postings, df, 0.5).collect()
+    assert sorted((r["a"], r["b"]) for r in found) == [(d, d + 50) for d in range(50)]
+    assert len(sm.cosine_pairs(vectors, 0.5, "prefix").collect()) == 50
+
+
+def test_pair_dots():
+    import numpy as np
+    import pyarrow as pa
+
+    from doccat.operators.blocks import dot_block, pair_dots
+
+    rng = np.random.default_rng(3)
+
+    def side(n):
+        terms = [np.sort(rng.choice(40, rng.integers(0, 20), replace=False)) for _ in range(n)]
+        return pa.table({"terms": pa.array(terms, pa.list_(pa.int64())), "us": pa.array([rng.random(len(t)) for t in terms], pa.list_(pa.float64()))})
+
+    a, b = side(30), side(30)
+    whole = np.zeros((2, 30, 40))
+    for k, t in enumerate((a, b)):
+        for row, (terms, us) in enumerate(zip(t.column("terms").to_pylist(), t.column("us").to_pylist())):
+            whole[k, row, terms] = us
+    assert np.allclose(dot_block(a, b), whole[0] @ whole[1].T)
+    one = pair_dots(*(t.column(c).combine_chunks() for t in (a, b) for c in ("terms", "us")))
+    assert np.allclose(one, np.diag(whole[0] @ whole[1].T))
