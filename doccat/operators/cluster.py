@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
@@ -15,6 +15,14 @@ from doccat.operators.vectors import dense_index, rank_terms, top_terms_text
 
 # Cosines are compared at this precision, so that the order of a sum cannot change a label.
 PLACES = 9
+# Angles are exact to far less than this, in radians.
+SLACK = 1e-7
+# Share of the documents above which all are scored anew rather than picked out, and of those that changed their cluster
+# above which centres are formed anew.
+ANEW = 0.8
+PATCHED = 0.4
+# Ids and labels of so many documents take less than a broadcast may, whatever the ids.
+FEW = 50_000
 
 
 def seed_order(doc_id: Column, seed: int) -> Column:
@@ -62,10 +70,10 @@ def _norms(wide: DataFrame, k: int) -> list[float]:
     return [x or 0.0 for x in row]
 
 
-def _nearest(
+def _scored(
     vectors: DataFrame, wide: DataFrame, norms: list[float]
 ) -> DataFrame:
-    """Labels from wide centres.
+    """``doc_id, cluster_id, distance, up, lows`` from wide centres: also the angle to the nearest and to each.
 
     A posting meets one row with its weight in all centres, so the join adds no rows. That
     table grows with the vocabulary: it is broadcast only when its size allows, else terms are
@@ -89,14 +97,27 @@ def _nearest(
             F.round(cosine, PLACES).alias("shown"), F.lit(-i).alias("minus_id"), cosine.alias("cosine")
         )
 
-    best = F.array_max(F.array(*[score(i) for i in range(k)])).alias("best")
-    return sums.filter(F.col("norm") > 0).select("doc_id", best).select(
+    scores = F.array(*[score(i) for i in range(k)])
+    found = sums.filter(F.col("norm") > 0).select("doc_id", scores.alias("scores"))
+    found = found.select("doc_id", "scores", F.array_max("scores").alias("best"))
+    return found.select(
         "doc_id",
         (-F.col("best.minus_id")).alias("cluster_id"),
         F.greatest(F.lit(1.0) - F.col("best.cosine"), F.lit(0.0)).alias("distance"),
+        _angle(F.col("best.cosine")).alias("up"),
+        F.transform("scores", lambda x: _angle(x["cosine"])).alias("lows"),
     )
 
 
+def _nearest(vectors: DataFrame, wide: DataFrame, norms: list[float]) -> DataFrame:
+    """``doc_id, cluster_id, distance``: labels from wide centres."""
+    return _scored(vectors, wide, norms).select("doc_id", "cluster_id", "distance")
+
+
+def _angle(cosine: Column) -> Column:
+    return F.acos(F.greatest(F.least(cosine, F.lit(1.0)), F.lit(-1.0)))
+
+
 def assign_clusters(vectors: DataFrame, centres: DataFrame, k: int) -> DataFrame:
     """``(doc_id, cluster_id, distance)``: the nearest centre of each document.
 
@@ -114,16 +135,20 @@ def _sizes(assigned: DataFrame, k: int) -> list[int]:
     return [found.get(i, 0) for i in range(k)]
 
 
-def _means(vectors: DataFrame, assigned: DataFrame, previous: DataFrame | None, k: int) -> DataFrame:
-    """Wide mean vectors. Sums per term are formed before the shuffle: no cluster is a hot key.
+def _sums(vectors: DataFrame, signed: DataFrame, k: int) -> DataFrame:
+    """Wide sums per term of the ``signed (doc_id, cluster_id, sign)`` documents.
 
-    Every document has a label, so every term gets a row; an empty cluster keeps its centre.
+    Sums per term are formed before the shuffle: no cluster is a hot key.
     """
-    sizes = _sizes(assigned, k)
-    labelled = vectors.join(assigned.select("doc_id", "cluster_id"), "doc_id")
+    labelled = vectors.join(signed, "doc_id")
     # First one sum per cluster and term, then a row per term: a posting meets one sum, not ``k``.
-    sums = labelled.groupBy("term").pivot("cluster_id", list(range(k))).agg(F.sum("w"))
-    sums = sums.select("term", *[F.col(f"`{i}`").alias(c) for i, c in enumerate(_columns(k))])
+    sums = labelled.groupBy("term").pivot("cluster_id", list(range(k))).agg(F.sum(F.col("w") * F.col("sign")))
+    return sums.select("term", *[F.col(f"`{i}`").alias(c) for i, c in enumerate(_columns(k))])
+
+
+def _divided(sums: DataFrame, sizes: list[int], previous: DataFrame | None) -> DataFrame:
+    """Wide mean vectors. Every document has a label, so every term gets a row; an empty cluster keeps its centre."""
+    k = len(sizes)
     means = [(F.col(c) / float(n)).alias(c) for c, n in zip(_columns(k), sizes) if n]
     new = sums.select("term", *means)
     if 0 not in sizes:
@@ -135,6 +160,14 @@ def _means(vectors: DataFrame, assigned: DataFrame, previous: DataFrame | None,
     return kept.select("term", *_columns(k))
 
 
+def _labels(assigned: DataFrame) -> DataFrame:
+    return assigned.select("doc_id", "cluster_id", F.lit(1.0).alias("sign"))
+
+
+def _means(vectors: DataFrame, assigned: DataFrame, previous: DataFrame | None, k: int) -> DataFrame:
+    return _divided(_sums(vectors, _labels(assigned), k), _sizes(assigned, k), previous)
+
+
 def centroids(
     vectors: DataFrame, assigned: DataFrame, k: int, previous: DataFrame | None = None
 ) -> DataFrame:
@@ -143,16 +176,15 @@ def centroids(
     return _long(_means(vectors, assigned, old, k), k)
 
 
-def _compare(old: DataFrame, new: DataFrame, old_norms: list[float]) -> tuple[float, list[float]]:
-    """Largest cosine distance between an old and a new centre, and the new norms."""
+def _compare(old: DataFrame, new: DataFrame, old_norms: list[float]) -> tuple[list[float], list[float]]:
+    """Cosine of each old centre with its new one, and the new norms; a centre without a norm has not moved."""
     k = len(old_norms)
     before = old.select("term", *[F.col(c).alias(f"old_{c}") for c in _columns(k)])
     dots = [F.sum(F.col(c) * F.col(f"old_{c}")) for c in _columns(k)]
     squares = [F.sum(F.col(c) * F.col(c)) for c in _columns(k)]
     row = [x or 0.0 for x in new.join(before, "term", "left").agg(*dots, *squares).first()]
     norms = [math.sqrt(x) for x in row[k:]]
-    moves = [1.0 - d / (a * b) for d, a, b in zip(row[:k], old_norms, norms) if a and b]
-    return max([0.0, *moves]), norms
+    return [d / (a * b) if a and b else 1.0 for d, a, b in zip(row[:k], old_norms, norms)], norms
 
 
 @dataclass
@@ -161,34 +193,119 @@ class Clusters:
     assigned: DataFrame
     iterations: int
     converged: bool
+    # Documents that were compared with all centres, and those that changed their cluster, in each round.
+    scored: list[int] = field(default_factory=list)
+    moved: list[int] = field(default_factory=list)
+
+
+def _aged(state: DataFrame, cosines: list[float]) -> DataFrame:
+    """The angles of ``state`` after the centres have moved: up by the own centre's move, lows by each one's."""
+    moves = F.array(*[F.lit(math.acos(max(-1.0, min(1.0, c))) + SLACK) for c in cosines])
+    return state.select(
+        "doc_id", "cluster_id", "distance", (F.col("up") + F.get(moves, F.col("cluster_id"))).alias("up"),
+        F.zip_with("lows", moves, lambda low, move: low - move).alias("lows"),
+    )
+
+
+def _settled() -> Column:
+    """Whether the own centre is surely the nearest, also at the precision at which cosines are compared."""
+    up = F.cos(F.least(F.col("up") + SLACK, F.lit(math.pi)))
+
+    def farther(low: Column, i: Column) -> Column:
+        least = F.least(F.greatest(low - SLACK, F.lit(0.0)), F.lit(math.pi))
+        return (i == F.col("cluster_id")) | (up - F.cos(least) > 10.0 ** (1 - PLACES))
+
+    return F.forall(F.transform("lows", farther), lambda x: x)
 
 
 def kmeans_fit(
-    vectors: DataFrame, k: int, max_iter: int = 20, tol: float = 1e-3, seed: int = 42
+    vectors: DataFrame, k: int, max_iter: int = 20, tol: float = 1e-3, seed: int = 42, bounds: bool = True
 ) -> Clusters:
     """Lloyd's algorithm from ``k`` random documents; labels come from the final centres.
 
     Vectors are laid out by document once and stay so: scoring and the update shuffle only
     sums. Each round writes its labels and centres and deletes those of the round before, so the
     plan does not grow and a lost executor costs one round at most.
+
+    With ``bounds`` a document carries an upper bound of the angle to its centre and a lower one of the angle to each
+    other. Angles obey the triangle inequality, so a bound changes by no more than its centre moves, and a document is
+    scored again only when its bounds meet. Centres are corrected by the documents that have changed
+    their cluster; where many have, they are formed anew, and so they are at the end. The labels are those of the plain loop.
     """
     laid = vectors.select("doc_id", "term", "w").repartition("doc_id")
     laid = laid.persist(StorageLevel.MEMORY_AND_DISK)
+    scored, changed = [], []
     try:
         wide = cut(_wide(seed_centroids(laid, cut(kmeans_seeds(laid, k, seed))), k))
         norms = _norms(wide, k)
-        done, rounds = False, 0
+        state = cosines = before = None
+        sizes: list[int] = []
+        done, rounds, corrected = False, 0, False
         while rounds < max_iter and not done:
-            assigned = cut(_nearest(laid, wide, norms))
-            moved = cut(_means(laid, assigned, wide, k))
-            distance, norms = _compare(wide, moved, norms)
-            drop_cut(assigned)
-            drop_cut(wide)
-            done, wide, rounds = distance <= tol, moved, rounds + 1
+            now, n_scored = _rescored(laid, state, wide, norms, cosines if bounds else None, sum(sizes))
+            moved = F.coalesce(F.sum((F.col("old") != F.col("cluster_id")).cast("long")), F.lit(0))
+            found = {r["cluster_id"]: r for r in now.groupBy("cluster_id").agg(F.count("*").alias("n"), moved.alias("m")).collect()}
+            counts = [found[i]["n"] if i in found else 0 for i in range(k)]
+            n_docs, n_moved = sum(counts), sum(r["m"] for r in found.values())
+            corrected = bounds and state is not None and n_moved <= PATCHED * n_docs
+            if corrected:
+                centres = cut(_corrected(laid, now.filter("old <> cluster_id"), n_moved, wide, sizes, counts))
+            else:
+                centres = cut(_divided(_sums(laid, _labels(now), k), counts, wide))
+            scored.append(n_docs if n_scored is None else n_scored)
+            changed.append(n_docs if state is None else n_moved)
+            cosines, norms = _compare(wide, centres, norms)
+            for table in (state, before):
+                if table is not None:
+                    drop_cut(table)
+            state, sizes, before, wide = now, counts, wide, centres
+            done, rounds = max([0.0, *(1.0 - c for c in cosines)]) <= tol, rounds + 1
+        if corrected:
+            # Corrected centres keep traces of terms that no member has any more.
+            wide = cut(_divided(_sums(laid, _labels(state), k), sizes, before))
+            norms = _norms(wide, k)
         assigned = cut(_nearest(laid, wide, norms))
     finally:
         laid.unpersist()
-    return Clusters(_long(wide, k), assigned, rounds, done)
+    return Clusters(_long(wide, k), assigned, rounds, done, scored, changed)
+
+
+def _rescored(
+    laid: DataFrame, state: DataFrame | None, wide: DataFrame, norms: list[float], cosines: list[float] | None, n_docs: int
+) -> tuple[DataFrame, int | None]:
+    """The state of the next round with the ``old`` labels, a written table, and how many documents were scored (all: None)."""
+    if state is None:
+        return cut(_scored(laid, wide, norms).withColumn("old", F.col("cluster_id"))), None
+    labels = state.select("doc_id", F.col("cluster_id").alias("old"))
+    if cosines is not None:
+        aged = _aged(state, cosines).withColumn("old", F.col("cluster_id")).withColumn("settled", _settled())
+        n_stale = aged.filter(~F.col("settled")).count()
+        if n_stale <= ANEW * n_docs:
+            stale = _small(aged.filter(~F.col("settled")).select("doc_id", "old"), n_stale)
+            again = _scored(laid.join(stale.select("doc_id"), "doc_id", "left_semi"), wide, norms).join(stale, "doc_id")
+            return cut(aged.filter("settled").drop("settled").unionByName(again)), n_stale
+    return cut(_scored(laid, wide, norms).join(_small(labels, n_docs), "doc_id")), None
+
+
+def _small(rows: DataFrame, n: int) -> DataFrame:
+    """``rows`` of ids and labels, ``n`` of them, broadcast if they are few or their measured bytes fit."""
+    return F.broadcast(rows) if n <= FEW or fits_broadcast(rows) else rows
+
+
+def _corrected(
+    laid: DataFrame, moved: DataFrame, n_moved: int, wide: DataFrame, sizes: list[int], counts: list[int]
+) -> DataFrame:
+    """Wide means after the documents ``moved (doc_id, old, cluster_id)``, from the means of ``sizes`` members before."""
+    k = len(sizes)
+    ends = F.array(
+        F.struct("cluster_id", F.lit(1.0).alias("sign")), F.struct(F.col("old").alias("cluster_id"), F.lit(-1.0).alias("sign"))
+    )
+    delta = _sums(laid, _small(moved.select("doc_id", F.inline(ends)), n_moved), k)
+    delta = delta.select("term", *[F.col(c).alias(f"d_{c}") for c in _columns(k)])
+    added = [
+        (F.coalesce(c, F.lit(0.0)) * float(n) + F.coalesce(f"d_{c}", F.lit(0.0))).alias(c) for c, n in zip(_columns(k), sizes)
+    ]
+    return _divided(wide.join(delta, "term", "left").select("term", *added), counts, wide)
 
 
 def cluster_sizes(assigned: DataFrame) -> DataFrame:

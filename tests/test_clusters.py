@@ -160,3 +160,29 @@ def test_checkpoint_folder_must_be_shared_on_a_cluster():
 
     with pytest.raises(RuntimeError):
         scale.checkpoint_folder(Session)
+
+
+@pytest.mark.parametrize("k, seed", [(1, 1), (4, 5), (9, 8)])
+def test_bounds_do_not_change_the_labels(spark, mixed, monkeypatch, k, seed):
+    """After every number of rounds, with all centres corrected and every document picked out that may change."""
+    monkeypatch.setattr(cl, "ANEW", 1.0)
+    monkeypatch.setattr(cl, "PATCHED", 1.0)
+    for rounds in (3, 20):
+        plain = cl.kmeans_fit(mixed, k, rounds, seed=seed, bounds=False)
+        fast = cl.kmeans_fit(mixed, k, rounds, seed=seed)
+        assert fast.iterations == plain.iterations and fast.converged == plain.converged
+
+        def shown(fit):
+            labels = {(r["doc_id"], r["cluster_id"]): pytest.approx(r["distance"], abs=1e-9) for r in fit.assigned.collect()}
+            return labels, {(r["cluster_id"], r["term"]): pytest.approx(r["w"], abs=1e-9) for r in fit.centroids.collect()}
+
+        assert shown(fast) == shown(plain)
+    assert fast.scored[0] == fast.moved[0] == plain.scored[-1] and fast.moved[1:] == plain.moved[1:]
+
+
+def test_settled_documents_are_not_scored_again(spark):
+    """Three groups without a common term: once the centres stand still, nobody is compared."""
+    texts = [(f"d{g}{i}", f"{w} {w} {w}{i % 3}") for g, w in enumerate(("lac", "rue", "parc")) for i in range(12)]
+    vectors = scale.cut(vc.vectorize(docs_of(spark, texts), []).vectors)
+    fit = cl.kmeans_fit(vectors, 3, 6, tol=-1.0, seed=3)
+    assert fit.iterations == 6 and fit.scored[0] == 36 and fit.moved[-1] == 0 and fit.scored[-1] < 36
