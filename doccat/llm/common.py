@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 import uuid
@@ -68,9 +69,12 @@ _WORD = "^ ?[A-Za-zÀ-ÖØ-öø-ÿ]+$"
 # Runs after which a worker begins to remember anew, what it had last still at hand, and the longest one that is worth it.
 REMEMBERED = 300_000
 LONGEST = 48
+# Places for marks of runs that came once.
+MET = 1 << 22
 # Characters of text that are cut at once.
 ENCODED = 8 << 20
-_ENCODERS: dict[tuple[str, bool], PieceEncoder] = {}
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+_ENCODERS: dict[tuple, PieceEncoder] = {}
 
 
 def byte_letters() -> dict[int, str]:
@@ -92,22 +96,24 @@ class PieceEncoder:
     which are never in one piece either. Many texts are cut at once by Arrow, each different run
     is looked up once, and its ids are remembered. ``spaced`` says that a piece keeps the space before it
     (byte-level vocabularies). A text that holds one of the file's added tokens, in any case, goes to the
-    library as it is.
+    library as it is. ``size`` and ``remembered`` bound the memory: characters that are cut at once, and known runs.
     """
 
-    def __init__(self, path: str, spaced: bool):
+    def __init__(self, path: str, spaced: bool, size: int = ENCODED, remembered: int = REMEMBERED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.letters = byte_letters()
+        self.size, self.remembered = size, remembered
         self.lead = " " if spaced else ""
         self.added = [x.content.lower() for x in self.tokenizer.get_added_tokens_decoder().values()]
         wide = self.tokenizer.get_vocab_size() > 1 << 16
         self.code, self.kind, self.width = ("I", "<u4", 4) if wide else ("H", "<u2", 2)
         self.runs: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
+        self.met = bytearray(MET)
 
     def _ids(self, pieces: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
@@ -124,8 +130,8 @@ class PieceEncoder:
     def _run_ids(self, different: pa.Array) -> list[bytes]:
         """Ids of different runs; those that are not known yet are learned."""
         names = different.to_pylist()
-        if len(self.runs) > REMEMBERED:
-            self.runs, self.before = {}, self.runs
+        if len(self.runs) > self.remembered:
+            self.runs, self.before, self.met = {}, self.runs, bytearray(MET)
         ids = list(map(self.runs.get, names))
         lost = [k for k, x in enumerate(ids) if x is None]
         found = {names[k]: self.before[names[k]] for k in lost if names[k] in self.before}
@@ -137,7 +143,13 @@ class PieceEncoder:
             found |= dict(zip(words, self._words(words), strict=True)) | dict(zip(others, self._ids(others), strict=True))
         for k in lost:
             ids[k] = found[names[k]]
-        self.runs.update((r, x) for r, x in found.items() if len(r) <= LONGEST)
+        # A run is worth remembering when it comes again: most never do.
+        met, size = self.met, len(self.met)
+        for run, x in found.items():
+            place = hash(run) % size
+            if met[place] and len(run) <= LONGEST:
+                self.runs[run] = x
+            met[place] = 1
         return ids
 
     def _piece_ids(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -186,7 +198,7 @@ class PieceEncoder:
                 whole[k] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
                 continue
             at = 0
-            while len(text) - at > ENCODED and (space := _SPACES.search(text, at + ENCODED)):
+            while len(text) - at > self.size and (space := _SPACES.search(text, at + self.size)):
                 parts.append((k, at == 0, text[at : space.start()]))
                 at = space.end()
             if len(text) > at:
@@ -195,10 +207,11 @@ class PieceEncoder:
         size, start = 0, 0
         for end, (_, _, part) in enumerate(parts, 1):
             size += len(part)
-            if size >= ENCODED or end == len(parts):
+            if size >= self.size or end == len(parts):
                 ids = self._encode_parts([p for _, _, p in parts[start:end]], [f for _, f, _ in parts[start:end]])
                 for (k, _, _), x in zip(parts[start:end], ids, strict=True):
                     found[k].append(x)
+                _give_back()
                 size, start = 0, end
         empty = np.empty(0, np.uint32)
         return [
@@ -240,13 +253,19 @@ class PieceEncoder:
         flat = np.append(flat, np.frombuffer(b"".join(alone), self.kind))
         sizes = np.append(sizes, np.fromiter(map(len, alone), np.int64, len(alone)) // self.width)
         del split, pieces, different, names
-        pa.default_memory_pool().release_unused()
         lengths = sizes[codes]
         out = _gather(flat.astype(np.uint32), (np.cumsum(sizes) - sizes)[codes], lengths)
         edges = np.append(np.append(0, np.cumsum(lengths))[lead], len(out))
         return [out[s:e] for s, e in zip(edges[:-1], edges[1:], strict=True)]
 
 
+def _give_back() -> None:
+    """Memory that is free again goes back to the system, where the C library can do so."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def _gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Stretches of ``flat`` one after the other."""
     after = np.cumsum(sizes)
@@ -276,8 +295,9 @@ def ship_vocabulary(spark: SparkSession, path: str) -> str:
     return os.path.basename(path)
 
 
-def encoder(name: str, spaced: bool) -> PieceEncoder:
+def encoder(name: str, spaced: bool, size: int = ENCODED, remembered: int = REMEMBERED) -> PieceEncoder:
     """The encoder of this worker for a shipped file; what it remembers serves all tasks that run here."""
-    if (name, spaced) not in _ENCODERS:
-        _ENCODERS[name, spaced] = PieceEncoder(SparkFiles.get(name), spaced)
-    return _ENCODERS[name, spaced]
+    key = (name, spaced, size, remembered)
+    if key not in _ENCODERS:
+        _ENCODERS[key] = PieceEncoder(SparkFiles.get(name), spaced, size, remembered)
+    return _ENCODERS[key]
