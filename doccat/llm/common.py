@@ -13,10 +13,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import SparkFiles
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from doccat.operators.scale import checkpoint_folder, ship_code
+from doccat.operators.scale import checkpoint_folder, cut, fits_broadcast, ship_code
 
 # Bytes after which Spark ends a batch for a Python worker; a single long text may be larger.
 BATCH_BYTES = 4 << 20
@@ -36,6 +37,30 @@ def arrow_map(df: DataFrame, func: Callable[[Batches], Batches], schema: str | S
     return df.mapInArrow(func, schema)
 
 
+def with_row_key(df: DataFrame) -> DataFrame:
+    """``_doc, _row``: each row of ``df`` as one struct, so that no name can clash, and a key of its own; a written table."""
+    return cut(df.select(F.struct("*").alias("_doc"), F.monotonically_increasing_id().alias("_row")))
+
+
+def content_key(*columns: str) -> Column:
+    """A number for the values of some columns, nulls included; two of ``n`` contents share one by a chance of n / 2**63."""
+    values = [F.col(c).cast("string") for c in columns]
+    return F.xxhash64(*[x for v in values for x in (F.coalesce(v, F.lit("")), v.isNull())])
+
+
+def with_content_key(df: DataFrame, *columns: str) -> DataFrame:
+    """``_doc, _row``: each row as one struct and the key of its ``columns``; for verdicts that hang on these alone.
+
+    Nothing is written: the same content has the same key whenever it is read.
+    """
+    return df.select(F.struct("*").alias("_doc"), content_key(*columns).alias("_row"))
+
+
+def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """``rows`` whose ``key`` is not in the written table ``gone``; wide rows are not shuffled if its measured bytes fit."""
+    return rows.join(F.broadcast(gone) if fits_broadcast(gone) else gone, key, "left_anti")
+
+
 def new_folder(spark: SparkSession) -> str:
     """A fresh path below the shared folder of the cluster."""
     return f"{checkpoint_folder(spark).rstrip('/')}/{uuid.uuid4().hex}"

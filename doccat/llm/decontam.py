@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from doccat.llm.common import Batches, arrow_map
-from doccat.operators.scale import cut, with_row_key, without
+from doccat.llm.common import Batches, arrow_map, with_content_key, without
+from doccat.operators.scale import cut
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -243,6 +243,6 @@ def keep_clean(docs: DataFrame, items: DataFrame, least: float = SIMILARITY) ->
 
     Each row goes or stays by its own text, also if it shares its ``doc_id`` with others or has none.
     """
-    rows = with_row_key(docs)
+    rows = with_content_key(docs, "text")
     found = contaminated(rows.select(F.col("_row").alias("doc_id"), "_doc.text"), items, least)
     return without(rows, cut(found.select(F.col("doc_id").alias("_row")).distinct()), "_row").select("_doc.*")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from doccat.operators.scale import cut, fits_broadcast, with_row_key, without
+from doccat.llm.common import with_content_key, without
+from doccat.operators.scale import cut, fits_broadcast
 
 SPACE = r"[\x20\x09-\x0D]+"
 WINDOW = 5
@@ -236,8 +237,8 @@ def judge(docs: DataFrame, most: float = MOST_DISTANCE, chance: float = CHANCE)
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that :func:`judge` keeps, all columns as they are.
 
-    Each row goes or stays by its own text, also if it shares its ``doc_id`` with others or has none.
+    Each row goes or stays by its own text and language, also if it shares its ``doc_id`` with others or has none.
     """
-    rows = with_row_key(docs)
+    rows = with_content_key(docs, "lang", "text")
     bad = judge(rows.select(F.col("_row").alias("doc_id"), "_doc.lang", "_doc.text")).filter(~F.col("kept"))
-    return without(rows, cut(bad.select(F.col("doc_id").alias("_row"))), "_row").select("_doc.*")
+    return without(rows, cut(bad.select(F.col("doc_id").alias("_row")).distinct()), "_row").select("_doc.*")

@@ -7,9 +7,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from doccat.llm.common import Batches, arrow_map, texts_of
+from doccat.llm.common import Batches, arrow_map, texts_of, with_row_key, without
 from doccat.llm.graph import components
-from doccat.operators.scale import cut, with_row_key, without
+from doccat.operators.scale import cut
 
 BITS = 64
 WORDS = 4
