@@ -66,16 +66,6 @@ def cut(df: DataFrame) -> DataFrame:
     return table
 
 
-def with_row_key(df: DataFrame) -> DataFrame:
-    """``_doc, _row``: each row of ``df`` as one struct, so that no name can clash, and a key of its own; a written table."""
-    return cut(df.select(F.struct("*").alias("_doc"), F.monotonically_increasing_id().alias("_row")))
-
-
-def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
-    """``rows`` whose ``key`` is not in the written table ``gone``; wide rows are not shuffled if its measured bytes fit."""
-    return rows.join(F.broadcast(gone) if fits_broadcast(gone) else gone, key, "left_anti")
-
-
 def drop_cut(table: DataFrame) -> None:
     """Delete the files of a table that :func:`cut` wrote, once nothing reads it any more."""
     path = table.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(table.cut_path)
