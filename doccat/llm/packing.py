@@ -16,8 +16,8 @@ from doccat.operators.scale import cut
 SEQUENCE = 2048
 # Characters that a worker cuts at once and runs that it remembers: packing is the last of several stages, and what the
 # workers and executors of the others hold stays with them.
-PART = 3 << 20
-REMEMBERED = 60_000
+PART = 4 << 20
+REMEMBERED = 100_000
 
 
 def pack_histogram(counts: dict[int, int], size: int = SEQUENCE) -> list[tuple[int, list[tuple[int, int]]]]:
@@ -111,7 +111,7 @@ def token_pieces(
 
     def cut_up(batches: Batches) -> Batches:
         encode = encoder(name, spaced, PART, REMEMBERED).encode_all
-        for batch in larger(batches, PART):
+        for batch in larger(batches, PART // 2):
             rows = []
             ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
             for doc_id, found in zip(ids, encode([x or "" for x in texts]), strict=True):
