@@ -1,27 +1,31 @@
-"""Personal data: patterns, and words that reveal what the patterns protect."""
+"""Personal data: patterns, and words that reveal what the patterns protect.
+
+Protected entities have several grains: the value itself, the domain of an address, the first half of an ip, the first
+digits of a card or phone number, and the kind. Every term of every text that holds a value is counted with all of them.
+"""
 
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StructType
+from pyspark.sql.types import ArrayType, LongType, StructType
 
 from doccat.llm.common import Batches, arrow_map
-from doccat.operators.scale import BROADCAST_BYTES, cut
+from doccat.operators.scale import cut, fits_broadcast
 
 # Kinds in the order that breaks ties.
 KINDS = ("email", "ip", "card", "phone")
 ADDED = ("general", "remove")
-# Words looked at on each side of a protected value.
-CONTEXT = 8
-# Different texts in which a word must stand near the same value before it can reveal it.
-LEAST_TEXTS = 3
-# A word is generalised when its pointwise mutual information with a value is at least this part
-# of the value's information content, and removed when it is practically all of it.
+# Bits of evidence before a term can reveal an entity: different surroundings times the entity's information content.
+EVIDENCE = 32.0
+# A word is generalised when its pointwise mutual information with an entity is at least this part
+# of the entity's information content, and removed when it is practically all of it.
 DISCLOSES = 0.9
 REVEALS = 0.999
 
@@ -83,64 +87,85 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
-def _near(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
-    """Spans of the ``CONTEXT`` words before and after a value."""
-    reach = _STEP
-    while True:
-        low = max(0, start - reach)
-        words = [m.span() for m in _WORD.finditer(text, low, start)]
-        if low == 0 or len(words) > CONTEXT:
-            break
-        reach *= 2
-    yield from words[-CONTEXT:]
-    for n, m in enumerate(_WORD.finditer(text, end)):
-        if n == CONTEXT:
-            return
-        yield m.span()
-
+def _apart(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[str, int, str]]:
+    """``(word, start, surroundings)`` of the words that share no character with a span; one pass over both.
 
-def value_key(kind: str, value: str) -> int:
+    The surroundings are the words before and after.
+    """
+    ordered = sorted((s, e) for _, s, e in spans)
+    at, reach = 0, -1
+    last, held = "", None
+    for m in _WORD.finditer(text):
+        start, end = m.span()
+        while at < len(ordered) and ordered[at][0] < end:
+            reach = max(reach, ordered[at][1])
+            at += 1
+        if held:
+            yield held[0], held[1], f"{held[2]} {m[0]}"
+        held = (m[0], start, last) if reach <= start else None
+        last = m[0]
+    if held:
+        yield held[0], held[1], f"{held[2]} "
+
+
+def _key(text: str) -> int:
     from xxhash import xxh64_intdigest
 
-    plain = value.lower() if kind in ("email", "ip") else _NO_DIGITS.sub("", value)
-    found = xxh64_intdigest(f"{kind}:{plain}".encode())
+    found = xxh64_intdigest(text.encode("utf-8", "replace"))
     return found - (1 << 64) if found >> 63 else found
 
 
+def entities(kind: str, value: str) -> list[str]:
+    """A value at all grains, the finest first."""
+    if kind == "email":
+        plain = value.lower()
+        part = plain.rpartition("@")[2]
+    elif kind == "ip":
+        plain = value
+        part = ".".join(value.split(".")[:2])
+    else:
+        plain = _NO_DIGITS.sub("", value)
+        part = plain[: 6 if kind == "card" else 5]
+    return [f"{kind}:{plain}", f"{kind}/{part}", kind]
+
+
 def term(word: Column) -> Column:
     """A word in lower case without what is no letter or digit at its ends."""
     return F.regexp_replace(F.lower(word), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
 
 
 def find(docs: DataFrame, keep: bool = False) -> DataFrame:
-    """``_row, doc_id, _hash, _base, _near``, one row per row of ``docs``; with ``keep`` also the text as ``_text``
-    and all other columns as the struct ``_doc``, so that no name can clash.
+    """``_row, doc_id, _hash, _base, _values, _words``, one row per row of ``docs``; with ``keep`` also the text as
+    ``_text`` and all other columns as the struct ``_doc``, so that no name can clash.
 
-    ``_base`` are the pattern spans; ``_near`` has the words around each value: value key, word,
-    start and end. Words that share a character with a span are left out.
+    ``_base`` are the pattern spans, ``_values`` the keys of their entities at all grains. ``_words`` has every word of a
+    text with a value, its start and a key of its surroundings; words that share a character with a span are left out.
     """
     span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
-    word = pa.struct([("value", pa.int64()), ("word", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
 
     def scan(batches: Batches) -> Batches:
         for batch in batches:
-            bases, nears = [], []
+            bases, values, sizes = [], [], [0]
+            words, starts, around = [], array("q"), array("q")
             for text in batch.column("_text").to_pylist():
                 spans = base_spans(text or "")
-                near = []
-                for kind, start, end in spans:
-                    value = value_key(kind, text[start:end])
-                    near += [
-                        (value, text[s:e], s, e) for s, e in _near(text, start, end)
-                        if all(e <= s2 or e2 <= s for _, s2, e2 in spans if s2 < e)
-                    ] if len(spans) <= 64 else [
-                        (value, text[s:e], s, e) for s, e in _near(text, start, end) if s >= end or e <= start
-                    ]
                 bases.append([dict(zip(("kind", "start", "end"), x, strict=True)) for x in spans])
-                nears.append([dict(zip(("value", "word", "start", "end"), x, strict=True)) for x in near])
+                values.append(sorted({_key(x) for kind, s, e in spans for x in entities(kind, text[s:e])}))
+                for word, start, near in _apart(text, spans) if spans else ():
+                    words.append(word)
+                    starts.append(start)
+                    around.append(_key(near))
+                sizes.append(len(words))
+            listed = pa.StructArray.from_arrays(
+                [pa.array(words, pa.string()), pa.array(np.array(starts, np.int64)), pa.array(np.array(around, np.int64))],
+                ["word", "start", "around"],
+            )
             names = [n for n in batch.schema.names if n != "_text" or keep]
-            columns = [batch.column(n) for n in names] + [pa.array(bases, pa.list_(span)), pa.array(nears, pa.list_(word))]
-            yield pa.RecordBatch.from_arrays(columns, [*names, "_base", "_near"])
+            columns = [batch.column(n) for n in names] + [
+                pa.array(bases, pa.list_(span)), pa.array(values, pa.list_(pa.int64())),
+                pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), listed),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, [*names, "_base", "_values", "_words"])
 
     text = F.col("text").cast("string")
     others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
@@ -150,7 +175,8 @@ def find(docs: DataFrame, keep: bool = False) -> DataFrame:
     )
     schema = StructType([f for f in picked.schema if f.name != "_text" or keep])
     schema = schema.add("_base", ArrayType(_fields(kind="string", start="long", end="long")))
-    schema = schema.add("_near", ArrayType(_fields(value="long", word="string", start="long", end="long")))
+    schema = schema.add("_values", ArrayType(LongType()))
+    schema = schema.add("_words", ArrayType(_fields(word="string", start="long", around="long")))
     return arrow_map(picked, scan, schema)
 
 
@@ -161,51 +187,73 @@ def _fields(**kinds: str) -> StructType:
     return out
 
 
-def disclosing(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """``value, term, kind``: terms that reveal a value, ``kind`` is ``general`` or ``remove``.
+def _small(table: DataFrame) -> DataFrame:
+    """A written table, marked for broadcast if its measured bytes fit."""
+    return F.broadcast(table) if fits_broadcast(table) else table
+
+
+def disclosing(docs: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``value, term, kind`` (terms that reveal an entity; ``general`` or ``remove``), and where these can stand:
+    ``_row, value, term, start, end``.
+
+    Over all ``N`` documents, with ``n(c)`` documents of entity ``c``, ``n(t)`` of term ``t`` and ``n(c,t)`` of both, at any
+    place of the text: ``PMI = log2(N n(c,t) / (n(c) n(t)))`` against ``IC = log2(N / n(c))``. Evidence is ``IC`` times the
+    number of surroundings in different texts, divided by how many of them are the same: copies, near copies and fixed
+    phrases prove little.
 
-    Over all ``N`` documents, with ``n(c)`` documents of value ``c``, ``n(t)`` of term ``t`` and ``n(c,t)``
-    where ``t`` stands near ``c``: ``PMI = log2(N n(c,t) / (n(c) n(t)))`` against ``IC = log2(N / n(c))``.
-    Terms count only if they stand near the value in ``LEAST_TEXTS`` different texts, so copies of a text
-    prove nothing. Counts are summed up before they are shuffled.
+    Two bounds keep the counted pairs few and lose none. An entity needs texts enough for the evidence. A term that reveals
+    one is in it with ``n(c,t) / n(t) >= 2 ** (-(1 - DISCLOSES) IC)``, and ``IC <= log2(N)``: a term that stands more often
+    in texts without any entity is out before pairs are made.
     """
-    near = found.select("_row", "_hash", F.explode("_near").alias("x")).select(
-        "_row", "_hash", F.col("x.value").alias("value"), term(F.col("x.word")).alias("term")
-    ).filter("term <> ''").distinct()
-    texts = near.select("value", "term", "_hash").distinct().groupBy("value", "term").agg(F.count("*").alias("texts"))
-    rows = near.groupBy("value", "term").agg(F.count("*").alias("n_both"))
-    pairs = cut(texts.filter(F.col("texts") >= LEAST_TEXTS).join(rows, ["value", "term"]))
-    values = found.select("_row", F.explode("_near.value").alias("value")).distinct().groupBy("value").agg(
-        F.count("*").alias("n_value")
-    )
-    terms = cut(pairs.select("term").distinct())
-    size = terms.agg(F.sum(F.octet_length("term") + 32)).first()[0] or 0
-    words = docs.select(
-        F.explode(F.array_distinct(F.transform(
-            F.split(F.col("text").cast("string"), r"[\x20\x09-\x0D]+"), lambda w: term(w)
-        ))).alias("term")
-    )
-    listed = words.join(F.broadcast(terms) if size <= BROADCAST_BYTES else terms, "term", "left_semi")
-    counts = listed.groupBy("term").agg(F.count("*").alias("n_term"))
     total = found.count()
     n = F.lit(float(max(1, total)))
+    listed = found.select("_row", "_hash", F.explode("_values").alias("value"))
     content = F.log2(n / F.col("n_value"))
+    values = cut(
+        listed.groupBy("value").agg(F.count_distinct("_row").alias("n_value"), F.count_distinct("_hash").alias("texts"))
+        .filter(F.col("texts") * content >= EVIDENCE).select("value", "n_value")
+    )
+    held = cut(listed.select("_row", "value").join(_small(values), "value", "left_semi"))
+    words = found.select("_row", "_hash", F.explode("_words").alias("x")).select(
+        "_row", "_hash", term(F.col("x.word")).alias("term"), F.col("x.start").alias("start"),
+        (F.col("x.start") + F.length("x.word")).alias("end"), F.col("x.around").alias("around"),
+    ).filter("term <> ''")
+    rows = _small(cut(held.select("_row").distinct()))
+    terms = cut(
+        words.join(rows, "_row", "left_semi").groupBy("term")
+        .agg(F.count_distinct("_row").alias("n_any"), F.count_distinct("_hash").alias("texts"))
+        .filter(F.col("texts") * F.log2(n) >= EVIDENCE).select("term", "n_any")
+    )
+    every = docs.select(F.explode(F.array_distinct(F.transform(
+        F.array_distinct(F.split(F.lower(F.col("text").cast("string")), r"[\x20\x09-\x0D]+")), lambda w: term(w)
+    ))).alias("term"))
+    counts = every.join(_small(terms.select("term")), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
+    least = F.pow(n, F.lit(DISCLOSES - 1.0))
+    rare = cut(terms.join(counts, "term").filter(F.col("n_any") >= F.col("n_term") * least * (1 - 1e-9)).drop("n_any"))
+    places = cut(
+        words.join(_small(rare.select("term")), "term", "left_semi").join(held, "_row")
+        .select("_row", "_hash", "value", "term", "start", "end", "around")
+    )
+    alike = places.groupBy("value", "term", "around").agg(F.count_distinct("_hash").alias("same"))
+    spread = alike.groupBy("value", "term").agg((F.sum("same") / F.max("same")).alias("spread"))
+    both = places.groupBy("value", "term").agg(F.count_distinct("_row").alias("n_both"))
     mutual = F.log2(n * F.col("n_both") / (F.col("n_value") * F.greatest("n_term", "n_both")))
-    rated = pairs.join(values, "value").join(counts, "term").filter((content > 0) & (mutual >= DISCLOSES * content))
-    return cut(rated.select("value", "term", F.when(mutual >= REVEALS * content, "remove").otherwise("general").alias("kind")))
+    rated = (
+        both.join(spread, ["value", "term"]).join(_small(values), "value").join(_small(rare), "term")
+        .filter((F.col("spread") * content >= EVIDENCE) & (mutual >= DISCLOSES * content))
+    )
+    kind = F.when(mutual >= REVEALS * content, "remove").otherwise("general")
+    return cut(rated.select("value", "term", kind.alias("kind"))), places
 
 
 def with_spans(docs: DataFrame, keep: bool = False) -> DataFrame:
     """``doc_id, _base`` and ``_spans`` (all spans in order), and what :func:`find` keeps."""
     found = cut(find(docs, keep))
-    reveal = disclosing(docs, found)
-    near = found.select("_row", F.explode("_near").alias("x")).select(
-        "_row", F.col("x.value").alias("value"), term(F.col("x.word")).alias("term"), "x.start", "x.end"
-    )
+    reveal, places = disclosing(docs, found)
     # "remove" is after "general" in the alphabet: the stronger one stands.
-    added = near.join(reveal, ["value", "term"]).groupBy("_row", "start", "end").agg(F.max("kind").alias("kind"))
+    added = places.join(_small(reveal), ["value", "term"]).groupBy("_row", "start", "end").agg(F.max("kind").alias("kind"))
     lists = added.groupBy("_row").agg(F.collect_list(F.struct("kind", "start", "end")).alias("_added"))
-    all_ = found.drop("_near").join(lists, "_row", "left")
+    all_ = found.drop("_words", "_values").join(lists, "_row", "left")
     order = F.array(*map(F.lit, (*KINDS, *ADDED)))
     spans = F.concat("_base", F.coalesce("_added", F.array().cast("array<struct<kind:string,start:bigint,end:bigint>>")))
     sorted_ = F.sort_array(F.transform(spans, lambda x: F.struct(
@@ -221,8 +269,9 @@ def spans_text(spans: Column) -> Column:
 def detect(docs: DataFrame) -> DataFrame:
     """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans``, one row per row of ``docs``.
 
-    The whole text is searched; a null text is empty. Pattern spans always stay; spans of words
-    that reveal a value are added (:func:`disclosing`) and never overlap them. Other columns are not read.
+    The whole text is searched; a null text is empty. Pattern spans always stay. In a text with a value, spans of the terms
+    that reveal one of its entities (:func:`disclosing`) are added at every place and never overlap them. Repeated rows are
+    rows like others, a null ``doc_id`` stays null, an empty table gives no rows. Other columns are not read.
     """
     each = with_spans(docs)
 

@@ -2,12 +2,15 @@
 
 import hashlib
 import json
+import math
+import random
 import re
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+import regex
 from helpers import COLUMNS, LONG, PLAIN, ROWS, awkward
 from pyspark.sql import functions as F
 
@@ -372,23 +375,83 @@ def test_base_spans():
         assert pii.base_spans(t) == brute_spans(t) if len(t) < 1000 else pii.base_spans(t) is not None, t[:80]
 
 
+def plain_term(word):
+    return regex.sub(r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "", word.lower())
+
+
+def brute_added(rows):
+    """Spans that the method adds, per row, by its definition over all terms and entities."""
+    n, places, of_value, of_term = len(rows), [], {}, {}
+    for i, (_, text, _) in enumerate(rows):
+        spans, words, found = brute_spans(text), list(WORD.finditer(text or "")), []
+        for k, m in enumerate(words):
+            word = plain_term(m[0])
+            if word:
+                of_term.setdefault(word, set()).add(i)
+                if spans and all(e <= m.start() or s >= m.end() for _, s, e in spans):
+                    around = (words[k - 1][0] if k else "", words[k + 1][0] if k + 1 < len(words) else "")
+                    found.append((word, m.start(), m.end(), around))
+        places.append(found)
+        for kind, s, e in spans:
+            for c in pii.entities(kind, text[s:e]):
+                of_value.setdefault(c, set()).add(i)
+    added = [{} for _ in rows]
+    for c, having in of_value.items():
+        content = math.log2(n / len(having))
+        near = {}
+        for i in having:
+            for word, _, _, around in places[i]:
+                near.setdefault(word, {}).setdefault(around, set()).add(rows[i][1])
+        for word, arounds in near.items():
+            same = [len(x) for x in arounds.values()]
+            both = {i for i in having if any(p[0] == word for p in places[i])}
+            mutual = math.log2(n * len(both) / (len(having) * len(of_term[word])))
+            if sum(same) / max(same) * content >= pii.EVIDENCE and mutual >= pii.DISCLOSES * content:
+                kind = "remove" if mutual >= pii.REVEALS * content else "general"
+                for i in both:
+                    for w, s, e, _ in places[i]:
+                        if w == word:
+                            added[i][s, e] = max(kind, added[i].get((s, e), ""))
+    return [{(kind, s, e) for (s, e), kind in x.items()} for x in added]
+
+
+def disclosing_rows():
+    """Zorgle stands for one value, far from it too; Plimm for a domain, once without it; most words for nothing."""
+    rng = random.Random(6)
+    common = [f"w{j}" for j in range(40)]
+
+    def prose(n):
+        return " ".join(rng.choices(common, k=n))
+
+    rows = [(100 + k, f"{prose(9)} (Zorgle), {prose(30)} boss@corp.example {prose(4)} zorgle {prose(3)}", "en") for k in range(10)]
+    rows += [(200 + k, f"{prose(5)} Plimm {prose(20)} p{k}@club.example {prose(5)}", "en") for k in range(24)]
+    rows += [(300, f"{prose(5)} Plimm {prose(9)}", "en"), (301, " ".join(f"u{k}@many.example" for k in range(90)) + " w1 w2", "en")]
+    # Near copies with a value in common: their rare word always stands between the same words.
+    rows += [(400 + k, f"{prose(6)} fixed Quorble phrase {prose(6)} +33 1 23 45 67 89 {prose(2)}", "fr") for k in range(12)]
+    rows += [(500, rows[0][1], "en"), (500, rows[0][1], "en")]
+    return rows + [(1000 + k, prose(12), "en") for k in range(400)] + [(i, t, g) for i, t, g in ROWS if not t or len(t) < 5000]
+
+
 def test_detect_and_sanitise(spark, docs, empty):
-    rows = [(100 + k, f"filler{k} talk about Zorgle when {who}@corp.example calls again, number {k} of these talks", "en") for k, who in enumerate(["boss"] * 5 + [f"p{j}" for j in range(20)])]
-    rows = [(i, t if k < 5 else t.replace("Zorgle", "nothing"), g) for k, (i, t, g) in enumerate(rows)]
-    rows += [(i, t, g) for i, t, g in ROWS if not t or len(t) < 5000]
-    got = {}
-    for r in pii.detect(awkward(spark, rows)).collect():
-        got.setdefault(r["doc_id"], []).append(r)
-    for i, text, _ in rows:
-        base = ",".join(f"{k}:{s}:{e}" for k, s, e in brute_spans(text))
-        match = [r for r in got[i] if r["base_sha256"] == hashlib.sha256(base.encode()).hexdigest()]
-        assert match and all(x in r["spans"].split(",") for r in match for x in base.split(",") if x)
-    boss = got[101][0]
-    text = dict((i, t) for i, t, _ in rows)[101]
-    added = {text[int(s) : int(e)] for k, s, e in (x.split(":") for x in boss["spans"].split(",")) if k in pii.ADDED}
-    assert "Zorgle" in added and "talk" not in added
+    rows = disclosing_rows()
+    want = sorted(
+        (str(i), ",".join(f"{k}:{s}:{e}" for k, s, e in brute_spans(text)), sorted(added))
+        for (i, text, _), added in zip(rows, brute_added(rows), strict=True)
+    )
+    got = []
+    for r in pii.detect(awkward(spark, rows).repartition(5)).collect():
+        spans = [(k, int(s), int(e)) for k, s, e in (x.split(":") for x in r["spans"].split(",") if x)]
+        base = ",".join(f"{k}:{s}:{e}" for k, s, e in spans if k not in pii.ADDED)
+        assert r["base_sha256"] == hashlib.sha256(base.encode()).hexdigest() and [s for _, s, _ in spans] == sorted(s for _, s, _ in spans)
+        got.append((str(r["doc_id"]), base, sorted(x for x in spans if x[0] in pii.ADDED)))
+    assert sorted(got) == want
+    texts = {i: t for i, t, _ in rows}
+    marked = {(k, plain_term(texts[int(i)][s:e])) for i, _, added in got for k, s, e in added}
+    assert {("remove", "zorgle"), ("general", "plimm")} <= marked and "quorble" not in {w for _, w in marked}
+    assert all(len(added) >= 2 for i, _, added in got if i in ("100", "109", "500"))
     clean = {r["doc_id"]: r for r in pii.sanitise(awkward(spark, rows)).collect()}
-    assert "boss@" not in clean[101]["text"] and "Zorgle" not in clean[101]["text"] and "[EMAIL]" in clean[101]["text"]
+    assert "boss@" not in clean[101]["text"] and "orgle" not in clean[101]["text"] and "[EMAIL]" in clean[101]["text"]
+    assert "[WORD]" in clean[201]["text"] and "Plimm" in clean[300]["text"] and "@" not in clean[301]["text"]
     assert clean[101]["n_chars"] == len(clean[101]["text"]) and clean[3]["text"] is None
     assert pii.sanitise(docs).columns == docs.columns and pii.sanitise(docs).count() == len(ROWS)
     assert pii.detect(empty).count() == pii.sanitise(empty).count() == 0
