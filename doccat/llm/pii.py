@@ -207,21 +207,25 @@ def disclosing(docs: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]
     """
     total = found.count()
     n = F.lit(float(max(1, total)))
-    listed = found.select("_row", "_hash", F.explode("_values").alias("value"))
+    # Entities and terms are made distinct in their row, and one row stands for each text: plain sums count both.
+    having = found.filter(F.size("_values") > 0)
+    firsts = cut(having.groupBy("_hash").agg(F.min("_row").alias("_row")).select("_row", F.lit(1).alias("first")))
+    listed = having.select("_row", F.explode("_values").alias("value")).join(_small(firsts), "_row", "left").fillna(0, "first")
     content = F.log2(n / F.col("n_value"))
     values = cut(
-        listed.groupBy("value").agg(F.count_distinct("_row").alias("n_value"), F.count_distinct("_hash").alias("texts"))
+        listed.groupBy("value").agg(F.count("*").alias("n_value"), F.sum("first").alias("texts"))
         .filter(F.col("texts") * content >= EVIDENCE).select("value", "n_value")
     )
-    held = cut(listed.select("_row", "value").join(_small(values), "value", "left_semi"))
-    words = found.select("_row", "_hash", F.explode("_words").alias("x")).select(
-        "_row", "_hash", term(F.col("x.word")).alias("term"), F.col("x.start").alias("start"),
+    held = cut(listed.join(_small(values), "value", "left_semi"))
+    words = having.select("_row", F.explode("_words").alias("x")).select(
+        "_row", term(F.col("x.word")).alias("term"), F.col("x.start").alias("start"),
         (F.col("x.start") + F.length("x.word")).alias("end"), F.col("x.around").alias("around"),
     ).filter("term <> ''")
-    rows = _small(cut(held.select("_row").distinct()))
+    rows = _small(cut(held.select("_row", "first").distinct()))
+    own = F.array_distinct(F.transform("_words.word", lambda w: term(w)))
     terms = cut(
-        words.join(rows, "_row", "left_semi").groupBy("term")
-        .agg(F.count_distinct("_row").alias("n_any"), F.count_distinct("_hash").alias("texts"))
+        having.select("_row", F.explode(own).alias("term")).filter("term <> ''").join(rows, "_row").groupBy("term")
+        .agg(F.count("*").alias("n_any"), F.sum("first").alias("texts"))
         .filter(F.col("texts") * F.log2(n) >= EVIDENCE).select("term", "n_any")
     )
     every = docs.select(F.explode(F.array_distinct(F.transform(
@@ -232,9 +236,9 @@ def disclosing(docs: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]
     rare = cut(terms.join(counts, "term").filter(F.col("n_any") >= F.col("n_term") * least * (1 - 1e-9)).drop("n_any"))
     places = cut(
         words.join(_small(rare.select("term")), "term", "left_semi").join(held, "_row")
-        .select("_row", "_hash", "value", "term", "start", "end", "around")
+        .select("_row", "first", "value", "term", "start", "end", "around")
     )
-    alike = places.groupBy("value", "term", "around").agg(F.count_distinct("_hash").alias("same"))
+    alike = places.filter("first = 1").groupBy("value", "term", "around").agg(F.count_distinct("_row").alias("same"))
     spread = alike.groupBy("value", "term").agg((F.sum("same") / F.max("same")).alias("spread"))
     both = places.groupBy("value", "term").agg(F.count_distinct("_row").alias("n_both"))
     mutual = F.log2(n * F.col("n_both") / (F.col("n_value") * F.greatest("n_term", "n_both")))
