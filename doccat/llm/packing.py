@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from doccat.llm.common import Batches, arrow_map, encoder, larger, ship_vocabulary
-from doccat.operators.scale import cut
+from doccat.operators.scale import cut, drop_cut
 
 SEQUENCE = 2048
 # Characters that a worker cuts at once and runs that it remembers: packing is the last of several stages, and what the
@@ -132,8 +132,9 @@ def token_pieces(
 def pack(pieces: DataFrame, size: int = SEQUENCE) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to rows with a ``length`` of 1 to ``size``.
 
-    1. Each piece gets its number among pieces of its length in its partition; the table is written,
-       so partitions and numbers stay as they are.
+    1. The pieces are written: the workers that made them are done before others number them, so an executor
+       holds one set of workers at a time. Each piece gets its number among pieces of its length in its
+       partition; this table is written too, so partitions and numbers stay as they are.
     2. Counts per partition and length give each partition its first rank for each length. They are
        added up per length, over as many rows as there are partitions.
     3. The histogram (``size`` rows at most) goes to the driver and is packed there.
@@ -144,7 +145,8 @@ def pack(pieces: DataFrame, size: int = SEQUENCE) -> DataFrame:
     """
     fields = [f for f in pieces.schema if f.name not in ("sequence_id", "offset")]
     names = [f.name for f in fields]
-    part = pieces.select(*names).withColumn("_part", F.spark_partition_id())
+    made = cut(pieces.select(*names))
+    part = made.withColumn("_part", F.spark_partition_id())
 
     def number(batches: Batches) -> Batches:
         seen = np.zeros(size + 1, np.int64)
@@ -160,6 +162,7 @@ def pack(pieces: DataFrame, size: int = SEQUENCE) -> DataFrame:
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
     numbered = cut(arrow_map(part, number, f"{kinds}, _part int, _nth long"))
+    drop_cut(made)
     counts = numbered.groupBy("_part", "length").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     firsts = counts.withColumn("_first", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")

@@ -18,6 +18,7 @@ from doccat.llm import decontam, langid, packing, pii, quality, simhash, suffix,
 from doccat.llm.common import PieceEncoder, new_folder
 from doccat.llm.graph import components
 from doccat.llm.queries import vocabulary
+from doccat.operators import scale
 
 
 @pytest.fixture(scope="module")
@@ -617,3 +618,19 @@ def test_pack(spark, docs, empty):
     assert by.groupby("sequence_id")["length"].sum().max() <= 2048
     assert sorted(by["sequence_id"].unique()) == list(range(by["sequence_id"].nunique()))
     assert packing.pack(packing.token_pieces(empty, path, 1)).count() == 0
+
+
+def test_pieces_are_numbered_by_no_task_that_makes_them(spark, monkeypatch):
+    """Two Python stages in a task keep two sets of workers alive in every executor."""
+    plans = []
+
+    def watched(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return scale.cut(df)
+
+    monkeypatch.setattr(packing, "cut", watched)
+    made = spark.range(50).mapInArrow(lambda batches: batches, "id long")
+    pieces = made.select(F.col("id").alias("doc_id"), (F.col("id") % 7 + 1).alias("length"))
+    placed = packing.pack(pieces, 8)
+    assert placed.count() == 50 and {r["n"] for r in placed.groupBy("sequence_id").agg(F.sum("length").alias("n")).collect()} <= set(range(9))
+    assert [p.count("MapInArrow") for p in plans] == [1, 1]
