@@ -127,6 +127,18 @@ def test_similar_equals_brute_force(spark, skewed, monkeypatch, method, block_ro
     assert {(r["doc_id"], r["other_id"], r["rank"]): r["cosine"] for r in found} == expected
 
 
+@pytest.mark.parametrize("method", ["blocks", "terms", "auto"])
+@pytest.mark.parametrize("rows, tile", [(16_384, 2048), (5, 4)])
+def test_search_equals_brute_force(spark, skewed, monkeypatch, method, rows, tile):
+    """Queries are copies, members of a set under another id, and single documents; the others are only found."""
+    monkeypatch.setattr(sm, "SEARCH_ROWS", rows)
+    expected = top(brute([tuple(r) for r in skewed.select("doc_id", "term", "w").collect()]), 5)
+    found = sm.similar_topk(skewed, 5, method, tile, F.col("doc_id") % 7 == 0).collect()
+    wanted = {key: c for key, c in expected.items() if key[0] % 7 == 0}
+    assert wanted and {(r["doc_id"], r["other_id"], r["rank"]): r["cosine"] for r in found} == wanted
+    assert sm.similar_topk(skewed, 5, method, tile, F.lit(False)).count() == 0
+
+
 def test_similar_fixture(spark):
     similar = sm.similar_topk(vc.vectorize(docs_of(spark, SMALL), []).vectors)
     found = {(r["doc_id"], r["other_id"]): r["cosine"] for r in similar.collect()}
