@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from doccat.functions import text as tx
 from doccat.functions.stopwords import AGENCY_WORDS, stopwords
 from doccat.operators import analyze as an
+from doccat.operators import scale
 from doccat.operators import vectors as vc
 
 
@@ -101,3 +102,23 @@ def test_analysis_runs_on_a_stream(spark, tmp_path):
     query = tokens.writeStream.format("memory").queryName("tokens").trigger(availableNow=True).start()
     query.awaitTermination(60)
     assert sorted(r["tokens"] for r in spark.table("tokens").collect()) == [[], ["lac", "bleu"]]
+
+
+def test_words_stay_where_they_are_beyond_the_broadcast_limit(spark, monkeypatch):
+    rows = [(1, "Le lac bleu"), (2, None), (3, ""), (1, "lac rive"), (None, "Rive et lac"), (4, "eau " * 50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    lexicon = spark.createDataFrame([("lac", "N"), ("lac", "V"), ("rive", "N"), ("bleu", "A"), ("eau", None)], "word string, tag string")
+    plain = an.content_words(docs, lexicon).filter("doc_id <> 1 OR doc_id IS NULL").collect()
+    monkeypatch.setattr(scale, "BROADCAST_BYTES", 0)
+    far = an.content_words(docs, lexicon)
+    assert sorted(far.filter("doc_id <> 1 OR doc_id IS NULL").collect(), key=str) == sorted(plain, key=str)
+    assert far.filter("doc_id = 1").first()["n_words"] == 4
+    # Texts travel by part and the lexicon's entries by word; no row of a single word is in a shuffle.
+    laid = scale.LaidOut(docs, "doc_id", 8)
+    laid.rows = an._words(laid.rows, scale.PART, "doc_id")
+    marked = scale.cut(lexicon.select("word", F.lit(True).alias("listed")).distinct())
+    with scale.by_part(spark):
+        kept = an._kept_words(laid.shipped(marked, "word"), False, scale.PART, "doc_id")
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert sum("hashpartitioning(_part" in line for line in moved) == 2 and not any("doc_id#" in line for line in moved)
