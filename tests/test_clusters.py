@@ -186,3 +186,20 @@ def test_settled_documents_are_not_scored_again(spark):
     vectors = scale.cut(vc.vectorize(docs_of(spark, texts), []).vectors)
     fit = cl.kmeans_fit(vectors, 3, 6, tol=-1.0, seed=3)
     assert fit.iterations == 6 and fit.scored[0] == 36 and fit.moved[-1] == 0 and fit.scored[-1] < 36
+
+
+def test_postings_stay_where_they_are_beyond_the_broadcast_limit(spark, mixed, monkeypatch):
+    """Centres too large for a broadcast come to the parts; the postings take part in no further shuffle."""
+    plain = cl.kmeans_fit(mixed, 4, 5, tol=-1.0, seed=5)
+    expected = {r["doc_id"]: (r["cluster_id"], pytest.approx(r["distance"], abs=1e-9)) for r in plain.assigned.collect()}
+    monkeypatch.setattr(scale, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(cl, "FEW", 0)
+    monkeypatch.setattr(cl, "PART_ROWS", 20)
+    found = cl.kmeans_fit(mixed, 4, 5, tol=-1.0, seed=5)
+    assert {r["doc_id"]: (r["cluster_id"], r["distance"]) for r in found.assigned.collect()} == expected
+    laid = cl._lay_out(mixed)
+    wide = scale.cut(cl._wide(plain.centroids, 4))
+    with scale.by_part(spark):
+        plan = cl._scored(laid, wide, cl._norms(wide, 4))._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert sum("hashpartitioning(_part" in line for line in moved) == 2 and not any("doc_id#" in line for line in moved)
