@@ -17,7 +17,7 @@ SEQUENCE = 2048
 # Characters that a worker cuts at once and runs that it remembers: packing is the last of several stages, and what the
 # workers and executors of the others hold stays with them.
 PART = 4 << 20
-REMEMBERED = 100_000
+REMEMBERED = 200_000
 
 
 def pack_histogram(counts: dict[int, int], size: int = SEQUENCE) -> list[tuple[int, list[tuple[int, int]]]]:

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import regex
 from helpers import COLUMNS, LONG, PLAIN, ROWS, awkward
@@ -142,6 +143,24 @@ def test_pieces_have_the_ids_of_the_text(name, spaced):
     assert [x.tolist() for x in small.encode_all(texts)] == want == [x.tolist() for x in small.encode_all(texts)]
 
 
+@pytest.mark.parametrize("name, spaced", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_runs_are_learned_once_and_kept_when_they_come_again(name, spaced):
+    """The ids are the library's whether a run is new, known, known from before or never kept; one kept run is not learned again."""
+    from tokenizers import Tokenizer
+
+    texts = ["Plain Words, caf\u00e9 na\u00efve 12-34 words", "words again: Plain caf\u00e9 \u00c5ngstr\u00f6m " + "x" * 60, "12-34 plain words"] * 2
+    library = Tokenizer.from_file(vocabulary(name))
+    want = [library.encode(x, add_special_tokens=False).ids for x in texts]
+    for remembered in (0, 3, 1000):
+        mine = PieceEncoder(vocabulary(name), spaced, size=1, remembered=remembered)
+        for _ in range(3):
+            assert [x.tolist() for x in mine.encode_all(texts)] == want
+    learned = []
+    mine._words, mine._ids = (lambda some, f=f: learned.extend(some) or f(some) for f in (mine._words, mine._ids))
+    mine._run_ids(pa.array(list(mine.runs)))
+    assert mine.runs and not learned
+
+
 def test_token_shards(spark, docs, empty):
     path = vocabulary("byte_bpe_50k.json")
     manifest = tokens.write_tokens(docs, new_folder(spark), path, end_id=2)
