@@ -239,3 +239,35 @@ def test_pair_dots():
     assert np.allclose(dot_block(a, b), whole[0] @ whole[1].T)
     one = pair_dots(*(t.column(c).combine_chunks() for t in (a, b) for c in ("terms", "us")))
     assert np.allclose(one, np.diag(whole[0] @ whole[1].T))
+
+
+def test_vectors_stay_laid_out_by_document(spark, monkeypatch):
+    """Counts and vectors are read back without a shuffle, and tables too large for a broadcast give the same rows."""
+    from doccat.operators import blocks, cluster, evaluate
+
+    rng = random.Random(7)
+    rows = [(i % 55 if i else None, " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "omega", f"w{i % 9}xx"]) for _ in range(12))) for i in range(60)]
+    docs = spark.createDataFrame([*rows, (99, None), (98, "")], "doc_id long, text string")
+
+    def run():
+        made = vc.vectorize(docs, [])
+        fit = cluster.kmeans_fit(made.vectors, 3, max_iter=2, tol=-1.0)
+        tables = {
+            "tf": made.tf, "vectors": made.vectors, "unit": vc.unit(made.vectors).select("doc_id", "term", "u"),
+            "top": vc.rank_terms(made.vectors, "doc_id"), "text": vc.vector_text(made.vectors),
+            "packed": blocks.pack(made.vectors).selectExpr("doc_id", "size(terms) AS n", "self_dot"),
+            "labels": fit.assigned, "intra": evaluate.intra_cluster(made.vectors, fit.assigned),
+        }
+        return made, {n: sorted((tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in t.collect()), key=repr) for n, t in tables.items()}
+
+    made, broadcast = run()
+    for table in (made.tf, made.vectors):
+        rows, key = scale.laid_rows(table)
+        plan = rows.groupBy(*key).count()._jdf.queryExecution().executedPlan().toString()
+        assert key == [scale.PART, "doc_id"] and "Exchange" not in plan and "Scan parquet" in plan
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("doccat_")]
+    assert len({r[0] for r in broadcast["tf"]}) == 56 and all(broadcast.values())
+    plain = vc.log_normalize(vc.tfidf(made.tf.select("*"), made.pruned, made.n_docs)).collect()
+    assert sorted(((r[0], r[1], round(r[2], 9)) for r in plain), key=repr) == broadcast["vectors"]
+    monkeypatch.setattr(scale, "BROADCAST_BYTES", -1)
+    assert run()[1] == broadcast
