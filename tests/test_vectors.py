@@ -265,6 +265,9 @@ def test_vectors_stay_laid_out_by_document(spark, monkeypatch):
         rows, key = scale.laid_rows(table)
         plan = rows.groupBy(*key).count()._jdf.queryExecution().executedPlan().toString()
         assert key == [scale.PART, "doc_id"] and "Exchange" not in plan and "Scan parquet" in plan
+    laid = made.vectors.laid
+    dealt = laid.beside(spark.range(4000).withColumnRenamed("id", "doc_id")).groupBy(F.spark_partition_id()).count().collect()
+    assert len(dealt) == laid.parts and max(r[1] for r in dealt) < 2 * 4000 / laid.parts
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("doccat_")]
     assert len({r[0] for r in broadcast["tf"]}) == 56 and all(broadcast.values())
     plain = vc.log_normalize(vc.tfidf(made.tf.select("*"), made.pruned, made.n_docs)).collect()
