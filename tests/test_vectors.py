@@ -219,6 +219,57 @@ def test_rare_terms_leave_fewer_pairs(spark):
     assert len(sm.cosine_pairs(vectors, 0.5, "prefix").collect()) == 50
 
 
+@pytest.mark.parametrize("bound, method", [(0.0, "auto"), (0.5, "blocks"), (0.5, "prefix")])
+def test_links_count_the_pairs(spark, near_copies, bound, method):
+    """Each document has the links of its pairs, copies among them, and they are counted before they leave their tasks."""
+    rows = [tuple(r) for r in near_copies.select("doc_id", "term", "w").collect()]
+    sets = {r["doc_id"]: (r["rep"], r["n"]) for r in sm.cosine_sets(near_copies).collect()}
+    want = {d: [*sets[d], 0, None] for d in sets}
+    for (a, b), c in brute(rows).items():
+        if c >= bound:
+            want[a][2] += 1
+            if sets[a][0] != sets[b][0]:
+                want[a][3] = max(c, want[a][3] or 0.0)
+    found = sm.cosine_pairs(near_copies, bound, method, links=True).collect()
+    got = {r["doc_id"]: [r["rep"], r["n"], r["n_links"], r["nearest"]] for r in found}
+    assert len(found) == len(got) == len(want)
+    assert got == {d: [*w[:3], w[3] and pytest.approx(w[3])] for d, w in want.items()}
+
+
+def test_pairs_are_not_shuffled(near_copies, capsys):
+    """Blocks are read by the tasks that compare them, and no posting pair or copy of a block goes through a shuffle."""
+    reps = scale.cut(sm._equal_sets(near_copies).withColumn("n", F.lit(1).cast("long")))
+    postings = scale.cut(sm.indexed_postings(reps, 0.5))
+    df = scale.cut(postings.groupBy("term_id").agg(F.count("*").alias("df")))
+    for found in (sm.candidate_pairs(postings, df, 0.5), sm.cosine_pairs(near_copies, 0.0)):
+        capsys.readouterr()
+        found.explain()
+        plan = capsys.readouterr().out
+        assert "CartesianProduct" in plan and "Exchange" not in plan
+
+
+@pytest.mark.parametrize("expand", [4, 40, 1 << 22])
+def test_candidates_of_postings_in_pieces(spark, near_copies, monkeypatch, expand):
+    """Sums of a document go on from one piece of its postings to the next."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(sm, "EXPAND", expand)
+    reps = sm._equal_sets(near_copies).collect()
+    batch = pa.RecordBatch.from_pylist([{"doc_id": r["doc_id"], "terms": r["terms"], "us": r["us"]} for r in reps])
+    posted = sm.indexed(batch, 0.4).to_pylist()
+    docs = {}
+    for p in posted:
+        doc = docs.setdefault(p["doc_id"], {"doc_id": p["doc_id"], "start": p["start"], "rest": p["rest"], "index": []})
+        doc["index"].append({k: p[k] for k in ("term_id", "u", "before")})
+    side = pa.Table.from_pylist(list(docs.values()))
+    pairs = [(i, j) for rows, cols in sm.reaching(side, side, True, 0.4) for i, j in zip(rows.tolist(), cols.tolist())]
+    both = [(i, j) for rows, cols in sm.reaching(side, side, False, 0.4) for i, j in zip(rows.tolist(), cols.tolist())]
+    ids, wanted = list(docs), brute([tuple(r) for r in near_copies.select("doc_id", "term", "w").collect()])
+    found = {(ids[i], ids[j]) for i, j in pairs}
+    assert len(found) == len(pairs) and len(both) == len(set(both)) == 2 * len(pairs) + len(ids)
+    assert {k for k, c in wanted.items() if c >= 0.4 and set(k) <= set(ids)} <= found | {(b, a) for a, b in found}
+
+
 def test_pair_dots():
     import numpy as np
     import pyarrow as pa
