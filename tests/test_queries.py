@@ -66,10 +66,12 @@ print("rows", e.entry(spark).count(), e.queries()["intra_cluster"](spark, {SF_DI
 SEARCHES = "job_similar job_similar_report similar_ranked similar_report similar_topk similar_topk_pruned skos_similar".split()
 
 
-def test_searches_are_whole(spark, tmp_path):
-    """Every document is looked up, whatever its id."""
+def test_searches_and_pairs_are_whole(spark, tmp_path):
+    """Every document is looked up, whatever its id, and every two different vectors that share a term are listed."""
     rows = [(1, "zone zone foret"), (2, "zone route"), (3, "route pont pont"), (7, "zone route"), (49, "seul")]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     for name in ("similar_topk", "similar_ranked"):
         assert {r["doc_id"] for r in QUERIES[name](spark, str(tmp_path)).collect()} == {1, 2, 3, 7}
+    found = {(r["a"], r["b"], r["n_a"], r["n_b"]): r["cosine"] for r in QUERIES["cosine_pairs"](spark, str(tmp_path)).collect()}
+    assert set(found) == {(1, 2, 1, 2), (2, 3, 2, 1)} and all(0 < c < 1 for c in found.values())
     assert not [name for name in SEARCHES if "%" in ORACLES[name].replace("%Y", "")]
