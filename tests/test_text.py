@@ -122,3 +122,56 @@ def test_words_stay_where_they_are_beyond_the_broadcast_limit(spark, monkeypatch
         plan = kept._jdf.queryExecution().executedPlan().toString()
     moved = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
     assert sum("hashpartitioning(_part" in line for line in moved) == 2 and not any("doc_id#" in line for line in moved)
+
+
+def expected_collocations(texts, n, min_support, min_llr):
+    """Collocations by counting every n-gram of every text."""
+    from collections import Counter
+    from math import log
+
+    pairs = Counter((" ".join(t[i : i + n - 1]), t[i + n - 1]) for t in texts for i in range(len(t) - n + 1))
+    heads, tails, m = Counter(), Counter(), sum(pairs.values())
+    for (h, t), c in pairs.items():
+        heads[h] += c
+        tails[t] += c
+
+    def part(c, row, col):
+        return c * log(c * m / (row * col)) if c else 0.0
+
+    found = {}
+    for (h, t), c in pairs.items():
+        a, b, d = heads[h], tails[t], m
+        ratio = 2 * (part(c, a, b) + part(a - c, a, d - b) + part(b - c, d - a, b) + part(d - a - b + c, d - a, d - b))
+        if c >= min_support and ratio >= min_llr:
+            found[f"{h} {t}"] = (c, pytest.approx(ratio, abs=1e-6))
+    return found
+
+
+@pytest.mark.parametrize("n, min_support, limit", [(2, 1, -1), (2, 2, 128 << 20), (3, 2, -1)])
+def test_collocations_of_likely_ngrams_are_all_there_are(spark, monkeypatch, n, min_support, limit):
+    """Frequent words that meet once, pairs that occur once and hashes that collide; n-grams of one occurrence are not shuffled."""
+    import random
+
+    from doccat.operators import scale
+
+    monkeypatch.setattr(scale, "BROADCAST_BYTES", limit)
+    monkeypatch.setattr(vc, "HASH_BITS", 8 if min_support == 2 else 40)
+    rng = random.Random(3)
+    texts = [["aaa", "xxx"] * 150, ["bbb", "yyy"] * 150, ["aaa", "yyy"], ["bbb", "ccc", "yyy", "xxx"], []]
+    texts += [[f"w{a}{b}" for a, b in zip(rng.choices("abcdefgh", k=12), rng.choices("ijkl", k=12))] for _ in range(30)]
+    docs = spark.createDataFrame([(i % 33, " ".join(t)) for i, t in enumerate(texts)] + [(50, None)], "doc_id long, text string")
+    grams = vc.ngram_rows(vc.laid_tokens(docs, [], n), n)
+    likely = vc.likely_ngrams(grams, min_support, 20.0)
+    found = vc.collocations(scale.cut(vc.ngram_counts(likely)), min_support, 20.0, grams).collect()
+    expected = expected_collocations(texts, n, min_support, 20.0)
+    assert {r["term"]: (r["count"], r["llr"]) for r in found} == expected and len(found) == len(expected) > 0
+    if n == 2:
+        assert ("aaa yyy" in expected) == (min_support == 1)
+    if vc.HASH_BITS == 40:
+        n_grams = sum(max(0, len(t) - n + 1) for t in texts)
+        assert likely.groupBy().sum("tf").first()[0] < n_grams - 50
+    tf = vc.tf_vectors(docs, [], min_support, n, 20.0)
+    words = [r for r in tf.collect() if " " in r["term"]]
+    assert {r["term"] for r in words} >= set(expected)
+    plan = likely.laid.rows._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Exchange" not in tf._jdf.queryExecution().executedPlan().toString()
