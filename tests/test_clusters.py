@@ -203,3 +203,33 @@ def test_postings_stay_where_they_are_beyond_the_broadcast_limit(spark, mixed, m
         plan = cl._scored(laid, wide, cl._norms(wide, 4))._jdf.queryExecution().executedPlan().toString()
     moved = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
     assert sum("hashpartitioning(_part" in line for line in moved) == 2 and not any("doc_id#" in line for line in moved)
+
+
+@pytest.mark.parametrize("layout", [True, False])
+def test_members_are_not_sent_to_every_block(spark, monkeypatch, capsys, layout):
+    """Blocks of a cluster are read from a table; extremes are those of all pairs, whether few or many documents may share few terms."""
+    rng = random.Random(5)
+    words = [a + b + "ot" for a in "bcdfg" for b in "aeiou"]
+    texts = [(i, "partout ailleurs " + " ".join(rng.choices(words, k=9))) for i in range(90)] + [(200, "seul"), (201, "partout"), (202, "partout")]
+    vectors = vc.vectorize(docs_of(spark, [(str(i), t) for i, t in texts]), []).vectors
+    if not layout:
+        vectors = scale.cut(vectors)
+    labels = scale.cut(vectors.select("doc_id").distinct().selectExpr("doc_id", "CAST(doc_id AS INT) % 3 AS cluster_id"))
+    docs, cluster = {}, {r["doc_id"]: r["cluster_id"] for r in labels.collect()}
+    for r in vectors.collect():
+        docs.setdefault(r["doc_id"], {})[r["term"]] = r["w"]
+    norm = {d: sum(w * w for w in v.values()) ** 0.5 for d, v in docs.items()}
+    gaps = {}
+    for a in docs:
+        for b in docs:
+            if a < b and cluster[a] == cluster[b]:
+                dot = sum(w * docs[b].get(t, 0.0) for t, w in docs[a].items())
+                gaps.setdefault(cluster[a], []).append(1 - dot / (norm[a] * norm[b]))
+    for share in (ev.HOT_SHARE, 2):
+        monkeypatch.setattr(ev, "HOT_SHARE", share)
+        found = ev.intra_cluster(vectors, labels, 8)
+        got = {r["cluster_id"]: (r["min_intra"], r["max_intra"]) for r in found.collect()}
+        assert got == {c: (pytest.approx(min(g), abs=1e-9), pytest.approx(max(g), abs=1e-9)) for c, g in gaps.items()}
+    capsys.readouterr()
+    found.explain()
+    assert "CartesianProduct" in capsys.readouterr().out
