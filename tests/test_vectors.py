@@ -325,3 +325,19 @@ def test_vectors_stay_laid_out_by_document(spark, monkeypatch):
     assert sorted(((r[0], r[1], round(r[2], 9)) for r in plain), key=repr) == broadcast["vectors"]
     monkeypatch.setattr(scale, "BROADCAST_BYTES", -1)
     assert run()[1] == broadcast
+
+
+@pytest.mark.parametrize("method", ["blocks", "terms"])
+def test_pairs_of_a_search_are_summed_where_blocks_meet(spark, skewed, monkeypatch, method):
+    """Too many pairs for a shuffle, and a task that folds what it has found after each two blocks."""
+    from doccat.operators import blocks
+
+    monkeypatch.setattr(sm, "PAIR_ROWS", 0)
+    monkeypatch.setattr(sm, "_near_by_terms", None)
+    monkeypatch.setattr(blocks, "FOLD_ROWS", 1)
+    rows = [tuple(r) for r in skewed.select("doc_id", "term", "w").collect()]
+    found = sm.similar_topk(skewed, 5, method, 8).collect()
+    assert {(r["doc_id"], r["other_id"], r["rank"]): r["cosine"] for r in found} == top(brute(rows), 5)
+    reps = scale.cut(blocks.pack(skewed))
+    near = sm._near_by_blocks(reps, 9, 5, method == "blocks").collect()
+    assert len(near) <= 9 * 5 * reps.count()
